@@ -22,3 +22,8 @@ def register(name: str, oracle: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from . import documents_flow, relational  # noqa: F401
