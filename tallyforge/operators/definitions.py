@@ -179,7 +179,7 @@ def _text(v: Column) -> Column:
 
 
 def _shown(v: Column, kind: Column) -> Column:
-    return F.when(kind == "str", quoted(_text(v))).when(kind == "bool", F.initcap(_text(v))).when(kind.isin("list", "dict"), F.to_json(v)).otherwise(_text(v))
+    return F.when(kind == "str", quoted(_text(v))).when(kind == "bool", F.initcap(_text(v))).when(kind.isin("list", "dict"), F.to_json(v)).when((kind == "float") & _text(v).rlike(r"^-?\d+$"), F.concat(_text(v), F.lit(".0"))).otherwise(_text(v))
 
 
 # ---- coercion
@@ -220,35 +220,52 @@ def _scalar(f: Field, v: Column, path: Column) -> tuple[Column, Column]:
     return value, F.when(kind.isNotNull() & ~kind.isin(*accepted), say(f"expected {EXPECTED[f.type]}, got ", _shown(v, kind)))
 
 
-def _field(f: Field, v: Column, path: Column) -> tuple[Column, Column]:
-    """(value, array of messages)."""
-    if f.type != "list":
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; also keeps the optimizer from copying it into each use."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _field(f: Field, given: Column, path: Column) -> Column:
+    """struct(v: value, e: messages)."""
+    none = F.array().cast("array<string>")
+
+    def scalar(v: Column) -> Column:
         value, bad = _scalar(f, v, path)
-        return value, F.array_compact(F.array(bad))
-    kind = _kind(v)
-    entries = F.when(kind == "list", F.try_variant_get(v, "$", "array<variant>"))
+        return F.struct(value.cast(f.ddl()).alias("v"), F.array_compact(F.array(bad)).alias("e"))
 
     def entry(e: Column, i: Column) -> Column:
         here = F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
         fine = F.coalesce(_kind(e) == "dict", F.lit(False))
-        made = [(n, _field(g, F.when(fine, _part(e, n)), F.concat(here, F.lit(f".{n}")))) for n, g in f.items.items()]
+        parts = F.struct(*[_field(g, F.when(fine, _part(e, n)), F.concat(here, F.lit(f".{n}"))).alias(n) for n, g in f.items.items()])
         wrong = F.concat(here, F.lit(": expected an object, got "), F.coalesce(_kind(e), F.lit("NoneType")))
-        return F.struct(F.struct(*[x.alias(n) for n, (x, _) in made]).alias("v"), F.when(fine, F.flatten(F.array(*[b for _, (_, b) in made]))).otherwise(F.array(wrong)).alias("e"))
+        return bind(parts, lambda p: F.struct(F.struct(*[p[n]["v"].alias(n) for n in f.items]).alias("v"), F.when(fine, F.flatten(F.array(*[p[n]["e"] for n in f.items]))).otherwise(F.array(wrong)).alias("e")))
+
+    def listed(v: Column) -> Column:
+        kind = _kind(v)
+        wrong = F.array(F.concat(path, F.lit(": expected a list of entries, got "), kind))
+        done = F.transform(F.when(kind == "list", F.try_variant_get(v, "$", "array<variant>")), entry)
+        return bind(done, lambda x: F.struct(
+            F.transform(x, lambda y: y["v"]).cast(f.ddl()).alias("v"),
+            F.when(kind.isNotNull() & (kind != "list"), wrong).otherwise(F.coalesce(F.flatten(F.transform(x, lambda y: y["e"])), none)).alias("e"),
+        ))
 
-    done = F.transform(entries, entry)
-    bad = F.when(kind.isNotNull() & (kind != "list"), F.array(F.concat(path, F.lit(": expected a list of entries, got "), kind))).otherwise(F.coalesce(F.flatten(F.transform(done, lambda x: x["e"])), F.array().cast("array<string>")))
-    return F.transform(done, lambda x: x["v"]), bad
+    return bind(given, listed if f.type == "list" else scalar)
 
 
 def coerce_expr(d: Definition, answer: Column) -> Column:
     """struct(values, errors) of a VARIANT answer: never fails, keeps every declared field, drops the rest."""
-    kind = _kind(answer)
-    whole = F.coalesce(kind == "dict", F.lit(False))
-    made = [(n, _field(f, F.when(whole, _part(answer, n)), F.lit(n))) for n, f in d.fields.items()]
-    values = F.struct(*[v.cast(d.fields[n].ddl()).alias(n) for n, (v, _) in made])
-    wrong = F.array(F.concat(F.lit("expected an object, got "), F.coalesce(kind, F.lit("NoneType"))))
-    errors = F.when(whole, F.flatten(F.array(*[e for _, (_, e) in made]))).otherwise(wrong)
-    return F.struct(values.alias("values"), errors.alias("errors"))
+
+    def whole_answer(a: Column) -> Column:
+        kind = _kind(a)
+        whole = F.coalesce(kind == "dict", F.lit(False))
+        wrong = F.array(F.concat(F.lit("expected an object, got "), F.coalesce(kind, F.lit("NoneType"))))
+        parts = F.struct(*[_field(f, F.when(whole, _part(a, n)), F.lit(n)).alias(n) for n, f in d.fields.items()])
+        return bind(parts, lambda p: F.struct(
+            F.struct(*[p[n]["v"].alias(n) for n in d.fields]).alias("values"),
+            F.when(whole, F.flatten(F.array(*[p[n]["e"] for n in d.fields]))).otherwise(wrong).alias("errors"),
+        ))
+
+    return bind(answer, whole_answer)
 
 
 # ---- rules
@@ -439,8 +456,13 @@ def invoice_total_expr(values: Column) -> Column:
 
 def process_expr(d: Definition, answer: Column, today: dt.date, transform=None) -> Column:
     """struct(values, errors, derived): coerce, transform (a values -> values expression), check."""
-    read = coerce_expr(d, answer)
-    values = transform(read["values"]) if transform else read["values"]
-    errors = F.concat(read["errors"], rules_expr(d, values, today))
-    derived = changed_fields_expr(d, read["values"], values) if transform else F.array().cast("array<string>")
-    return F.struct(values.alias("values"), errors.alias("errors"), derived.alias("derived"))
+
+    def processed(read: Column) -> Column:
+        changed = transform(read["values"]) if transform else read["values"]
+        return bind(changed, lambda values: F.struct(
+            values.alias("values"),
+            F.concat(read["errors"], rules_expr(d, values, today)).alias("errors"),
+            (changed_fields_expr(d, read["values"], values) if transform else F.array().cast("array<string>")).alias("derived"),
+        ))
+
+    return bind(coerce_expr(d, answer), processed)

@@ -43,13 +43,14 @@ def coerced(t: DataFrame) -> DataFrame:
 
 
 def checked(t: DataFrame) -> DataFrame:
-    return coerced(t).withColumn("errors", D.rules_expr(RECEIPT, F.col("c.values"), TODAY))
+    """All messages of an answer: coercion's first, then the rules'. One bound expression, so a filter on it copies nothing."""
+    return t.select("document_id", D.process_expr(RECEIPT, F.try_parse_json("answer"), TODAY)["errors"].alias("errors"))
 
 
 q("C1_coerce", "answers", f"""SELECT document_id, {_VENDOR} AS vendor, {_TOTAL} AS total, {_ISSUED} AS issued, CASE WHEN document_id % 3 <> 0 THEN document_id % 100 END AS quantity,
 concat_ws('|', CASE WHEN document_id % 11 = 2 THEN 'vendor: expected a string, got int' END, CASE WHEN document_id % 5 = 0 THEN 'total: expected an amount like ''1234.56'' or ''1234,56'', got ''1,234''' END,
 CASE WHEN document_id % 7 = 0 THEN 'issued: ''2026-02-30'' is not a real date' END, CASE WHEN document_id % 3 = 0 THEN 'quantity: expected an integer, got 5.0' END, CASE WHEN document_id % 9 = 0 THEN 'items[2]: expected an object, got int' END) AS errors FROM answers""")(
-    lambda t: coerced(t).select("document_id", "c.values.vendor", "c.values.total", "c.values.issued", "c.values.quantity", F.array_join(F.transform("c.errors", lambda e: F.replace(e, F.lit("got 5"), F.when(F.contains(e, F.lit("got 5.0")), "got 5").otherwise("got 5.0"))), "|").alias("errors")))
+    lambda t: coerced(t).select("document_id", "c.values.vendor", "c.values.total", "c.values.issued", "c.values.quantity", F.array_join("c.errors", "|").alias("errors")))
 q("C2_list_coercion", "answers", "SELECT document_id, CASE WHEN document_id % 9 = 0 THEN 3 ELSE 2 END AS entries, CASE WHEN document_id % 6 = 0 THEN CAST(NULL AS DECIMAL(18,4)) ELSE CAST(2.5 AS DECIMAL(18,4)) END AS second FROM answers")(lambda t: coerced(t).select("document_id", F.size("c.values.items").alias("entries"), F.get("c.values.items", F.lit(1))["amount"].alias("second")))
 for _name, _message, _sql in (
     ("C3a_required", "vendor is required but was not extracted", f"trim(coalesce({_VENDOR}, '')) = ''"),
@@ -63,7 +64,7 @@ for _name, _message, _sql in (
 q("C3b_positive", "answers", f"SELECT document_id, {_TOTAL} - 100000 <= 0 AS fails FROM answers WHERE {_TOTAL} IS NOT NULL")(
     lambda t: coerced(t).where("c.values.total is not null").select("document_id", (F.size(D.rules_expr(D.Definition("p", {"total": D.Field("money")}, rules=(D.Rule("positive", "total"),)), F.struct((F.col("c.values.total") - 100000).cast(D.MONEY).alias("total")), TODAY)) > 0).alias("fails")))
 q("C3h_error_counts", "answers", f"""SELECT document_id, (CASE WHEN trim(coalesce({_VENDOR}, '')) = '' THEN 1 ELSE 0 END) + (CASE WHEN {_TOTAL} < 1000 OR {_TOTAL} > 400000 THEN 1 ELSE 0 END) + (CASE WHEN abs(price - 1 + {_VAT} - {_TOTAL}) > 0.02 THEN 1 ELSE 0 END)
-+ (CASE WHEN document_id % 6 = 0 OR document_id % 9 = 0 THEN 1 ELSE 0 END) + (CASE WHEN {_ISSUED} > DATE '2000-06-02' THEN 1 ELSE 0 END) + (CASE WHEN NOT regexp_matches({_VENDOR}, '^Shop\\s+\\d+$') THEN 1 ELSE 0 END) AS errors FROM answers""")(lambda t: checked(t).select("document_id", F.size("errors").alias("errors")))
++ (CASE WHEN document_id % 6 = 0 OR document_id % 9 = 0 THEN 1 ELSE 0 END) + (CASE WHEN {_ISSUED} > DATE '2000-06-02' THEN 1 ELSE 0 END) + (CASE WHEN NOT regexp_matches({_VENDOR}, '^Shop\\s+\\d+$') THEN 1 ELSE 0 END) AS errors FROM answers""")(lambda t: checked(t).select("document_id", F.size(F.filter("errors", lambda e: ~e.rlike(r"^\w+(\[\d+\])?(\.\w+)?: "))).alias("errors")))
 q("C13_to_ledger", "answers", f"SELECT document_id, 'receipt' AS source_type, 'out' AS direction, {_TOTAL} AS amount, {_VAT} AS tax_amount, {_ISSUED} AS occurred_on, nullif(trim(regexp_replace({_VENDOR}, '\\s+', ' ', 'g')), '') AS counterparty, CASE WHEN document_id % 6 <> 0 THEN 'EUR' END AS currency FROM answers WHERE document_id % 5 > 1")(
     lambda t: coerced(t).withColumn("l", D.ledger_expr(RECEIPT, F.col("c.values"))).where("l.row is not null").select("document_id", "l.row.source_type", "l.row.direction", "l.row.amount", "l.row.tax_amount", "l.row.occurred_on", "l.row.counterparty", "l.row.currency"))
 q("C13_ledger_reasons", "answers", "SELECT document_id, 'total is null, so there is no amount to record' AS reason FROM answers WHERE document_id % 5 <= 1")(lambda t: coerced(t).withColumn("l", D.ledger_expr(RECEIPT, F.col("c.values"))).where("l.reason is not null").select("document_id", "l.reason"))

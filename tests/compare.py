@@ -20,7 +20,7 @@ def connect(sf_dir: str):
 
 
 def plain(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return None
     if isinstance(x, (float, decimal.Decimal)):
         return round(float(x), 6)
