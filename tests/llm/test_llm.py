@@ -173,7 +173,7 @@ def test_html():
 def test_classifiers():
     rng = random.Random(5)
     clean = [" ".join(rng.choice("the and of house tree water road".split()) for _ in range(40)) for _ in range(200)]
-    bad = [t.replace("house", rng.choice(["idiotic", "idiots"]), 1) + " idioten" for t in clean[:80]]
+    bad = [" ".join([t, *("idiot" + rng.choice(["en", "ic", "a", "o", "ish", "un"]) for _ in range(2))]) for t in clean[:80]]
     model = toxicity.fit(clean[80:] + bad, [0] * 120 + [1] * 80)
     assert model.score(clean[0] + " idioter idiotisch") >= 0.5 > model.score(clean[0]) and 0 <= model.score(None) < 0.5
     words = {"en": "the and thing with other".split(), "de": "der und nicht schön über".split()}
