@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import definitions as D
@@ -28,6 +28,18 @@ def form_problem(field: D.Field, text):
     return F.when((t != "") & bad, F.lit(f"not a {field.type}"))
 
 
+def _answer_json(d: D.Definition, answer: Column) -> Column:
+    """Form texts as a JSON answer: numbers and truth values bare where they read as such, the rest as strings."""
+    parts = []
+    for n, f in d.fields.items():
+        v = F.element_at(answer, n)
+        bare = {"integer": v.try_cast("bigint").isNotNull(), "number": v.try_cast("double").isNotNull(), "boolean": v.isin("true", "false")}.get(f.type, F.lit(False))
+        string = F.to_json(F.array(v))
+        shown = F.when(v.isNull(), "null").when(bare, F.trim(v)).otherwise(F.substring(string, F.lit(2), F.char_length(string) - 2))
+        parts.append(F.concat(F.lit(f'"{n}":'), shown))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
 def split_stale(corrections: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused): a correction must name the revision its author saw."""
     seen = corrections.join(documents.select("document_id", F.col("revision").alias("__revision")), "document_id", "left")
@@ -46,5 +58,5 @@ def apply_corrections(documents: DataFrame, corrections: DataFrame, d: D.Definit
     joined = accepted.join(documents.drop("revision"), "document_id")
     keys = [F.lit(n) for n in d.fields]
     overlay = F.map_from_arrays(F.array(*keys), F.array(*[F.coalesce(F.when(F.map_contains_key("changes", n), F.element_at("changes", n)), F.element_at("answer", n)) for n in d.fields]))
-    joined = joined.withColumn("answer", overlay).withColumn("p", D.process_expr(d, F.parse_json(F.to_json("answer")), today))
+    joined = joined.withColumn("answer", overlay).withColumn("p", D.process_expr(d, F.parse_json(_answer_json(d, F.col("answer"))), today))
     return joined.select("document_id", (F.col("revision") + 1).alias("revision"), "answer", F.col("p.errors").alias("errors"), (F.size("p.errors") > 0).alias("withdraw"))
