@@ -13,15 +13,19 @@ first at an earlier place (document id, then line number). Blank lines always st
 shorter than ``min_chars`` take part by equality only: a few edits there are another line.
 
 No step gathers a line's copies: equal lines are folded by a partial minimum, and a
-document learns only which of its own lines stay.
+document learns only which of its own lines stay. Distinct lines that share a segment do
+meet pairwise: a large family of different lines with one segment in common costs the
+square of its size in key matches (16 bytes a side), though few of them reach the texts.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shared_dir
 
 MAX_EDITS = 2
 MIN_CHARS = 30
@@ -49,19 +53,32 @@ def _rows(values: list[tuple[int, ...]], names: str) -> Column:
 
 
 def index_keys(lines: DataFrame, max_edits: int) -> DataFrame:
-    """(a, key): the segments every line ``(id, line, n)`` files."""
-    rows = lines.select("id", "line", "n", _rows([(i,) for i in range(max_edits + 1)], "i").alias("w"))
+    """(a1, a2, key): the segments every line ``(h1, h2, line, n)`` files."""
+    rows = lines.select("h1", "h2", "line", "n", _rows([(i,) for i in range(max_edits + 1)], "i").alias("w"))
     start, size = _segment(F.col("n"), max_edits + 1, F.col("w.i"))
-    return rows.select(F.col("id").alias("a"), F.xxhash64(F.substring("line", start, size), "w.i", "n").alias("key"))
+    return rows.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.xxhash64(F.substring("line", start, size), "w.i", "n").alias("key"))
 
 
 def probe_keys(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """(b, key): what lines of 0..max_edits fewer characters could have filed."""
-    rows = lines.select("id", "line", "n", _rows(_windows(max_edits), "dis").alias("w"))
-    rows = rows.select("id", "line", "n", "w.i", "w.s", (F.col("n") - F.col("w.d")).alias("m")).where(F.col("m") >= min_chars)
+    """(b1, b2, key): what lines of 0..max_edits fewer characters could have filed."""
+    rows = lines.select("h1", "h2", "line", "n", _rows(_windows(max_edits), "dis").alias("w"))
+    rows = rows.select("h1", "h2", "line", "n", "w.i", "w.s", (F.col("n") - F.col("w.d")).alias("m")).where(F.col("m") >= min_chars)
     start, size = _segment(F.col("m"), max_edits + 1, F.col("i"))
-    rows = rows.select("id", "line", "n", "i", "m", (start + F.col("s")).alias("at"), size.alias("size")).where("at >= 1 and at + size - 1 <= n")
-    return rows.select(F.col("id").alias("b"), F.xxhash64(F.substring("line", F.col("at"), F.col("size")), "i", "m").alias("key"))
+    rows = rows.select("h1", "h2", "line", "n", "i", "m", (start + F.col("s")).alias("at"), size.alias("size")).where("at >= 1 and at + size - 1 <= n")
+    return rows.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.xxhash64(F.substring("line", F.col("at"), F.col("size")), "i", "m").alias("key"))
+
+
+#: Characters whose counts are compared before an edit distance is computed; any set is sound.
+_COUNTED = "etaoinrshldu "
+
+
+def _bags_are_near(x: Column, y: Column, max_edits: int) -> Column:
+    """Necessary for nearness: an edit changes at most two character counts by one."""
+    count = lambda t, c: F.char_length(t) - F.char_length(F.translate(t, c, ""))
+    gap = F.lit(0)
+    for c in _COUNTED:
+        gap = gap + F.abs(count(x, c) - count(y, c))
+    return gap <= 2 * max_edits
 
 
 def _may_be_near(x: Column, y: Column, max_edits: int) -> Column:
@@ -147,24 +164,36 @@ def banded_edit_distance(a: Column, b: Column, max_edits: int = MAX_EDITS) -> Co
 
 
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line, n, doc, no, copies): each distinct non-blank line, its first place and how often it occurs."""
+    """(h1, h2, line, n, doc, no, copies): each distinct non-blank line, its first place and how often it occurs.
+
+    A line is known by 96 bits of hash. The table is written in buckets of that hash, as
+    the grouping left it, so that texts are later fetched without moving the table.
+    """
+    spark = docs.sparkSession
     lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("no", "line")).where("line rlike '\\\\S'")
-    found = lines.groupBy("line").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("copies"))
-    found = found.select(F.monotonically_increasing_id().alias("id"), "line", F.char_length("line").alias("n"), "first.doc", "first.no", "copies")
-    return cut(found, "lines")  # written once, so the ids hold
+    keyed = lines.select(F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "line", "doc", "no")
+    found = keyed.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("copies"))
+    found = found.select("h1", "h2", "line", F.char_length("line").alias("n"), "first.doc", "first.no", "copies")
+    name = f"tallyforge_lines_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found.write.bucketBy(buckets, "h1", "h2").option("path", f"{shared_dir(spark)}/tallyforge/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def near_line_pairs(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Distinct ``lines(id, line, n)`` -> ``(a, b)``: pairs of ids within ``max_edits`` edits, each pair once."""
+    """Distinct ``lines(h1, h2, line, n)`` -> ``(a1, a2, b1, b2)``: pairs within ``max_edits`` edits, each pair once."""
     long = lines.where(F.col("n") >= min_chars)
-    met = index_keys(long, max_edits).join(probe_keys(long, max_edits, min_chars), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    met = cut(met, "line-candidates")
-    ids = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = cut(long.select("id", "line").join(ids, "id", "left_semi"), "candidate-lines")
-    checked = met.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    checked = checked.where(_may_be_near(F.col("x"), F.col("y"), max_edits)).select("a", "b", _trimmed(F.col("x"), F.col("y")).alias("t"))
-    checked = cut(checked, "line-pairs").select("a", "b", "t.x", "t.y")
-    return checked.where(banded_edit_distance(F.col("x"), F.col("y"), max_edits) <= max_edits).select("a", "b")
+    met = index_keys(long, max_edits).join(probe_keys(long, max_edits, min_chars), "key")
+    a, b = F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))
+    met = met.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    met = cut(met.select("a.h1", "a.h2", F.col("b.h1").alias("b1"), F.col("b.h2").alias("b2")).distinct(), "line-candidates")
+    texts = long.select("h1", "h2", "line")
+    x = met.join(texts.withColumnRenamed("line", "x"), ["h1", "h2"]).select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), "x", F.col("b1").alias("h1"), F.col("b2").alias("h2"))
+    both = x.join(texts.withColumnRenamed("line", "y"), ["h1", "h2"])
+    fine = _bags_are_near(F.col("x"), F.col("y"), max_edits) & _may_be_near(F.col("x"), F.col("y"), max_edits)
+    checked = both.where(fine).select("a1", "a2", F.col("h1").alias("b1"), F.col("h2").alias("b2"), _trimmed(F.col("x"), F.col("y")).alias("t"))
+    checked = cut(checked, "line-pairs").select("a1", "a2", "b1", "b2", "t.x", "t.y")
+    return checked.where(banded_edit_distance(F.col("x"), F.col("y"), max_edits) <= max_edits).select("a1", "a2", "b1", "b2")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -177,11 +206,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     lines = distinct_lines(docs, id_col, text_col)
     pairs = near_line_pairs(lines, max_edits, min_chars)
-    place = F.struct("doc", "no")
-    at = lines.select("id", place.alias("at"))
-    ranked = pairs.join(at.select(F.col("id").alias("a"), F.col("at").alias("pa")), "a").join(at.select(F.col("id").alias("b"), F.col("at").alias("pb")), "b")
-    later = cut(ranked.select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct(), "later-lines")
-    stay = lines.join(later, "id", "left_anti").groupBy(F.col("doc").alias("__doc")).agg(F.array_sort(F.collect_set("no")).alias("__stay"))
+    pairs = cut(pairs, "near-lines")
+    at = lines.select("h1", "h2", F.struct("doc", "no").alias("at"))
+    ranked = pairs.withColumnsRenamed({"a1": "h1", "a2": "h2"}).join(at.withColumnRenamed("at", "pa"), ["h1", "h2"])
+    ranked = ranked.withColumnsRenamed({"h1": "a1", "h2": "a2", "b1": "h1", "b2": "h2"}).join(at.withColumnRenamed("at", "pb"), ["h1", "h2"])
+    later = ranked.select(F.when(F.col("pa") > F.col("pb"), F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"))).otherwise(F.struct("h1", "h2")).alias("k")).select("k.h1", "k.h2").distinct()
+    later = cut(later, "later-lines")
+    stay = lines.join(later, ["h1", "h2"], "left_anti").groupBy(F.col("doc").alias("__doc")).agg(F.array_sort(F.collect_set("no")).alias("__stay"))
     joined = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__doc")), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     blank = F.filter(F.transform(parts, lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda i: i.isNotNull())
