@@ -19,21 +19,24 @@ from tallyforge.llm.queries import LANG_FOLDS, TOXIC_FOLDS, pack
 MIN_LANGUAGE_SCORE = 0.3
 
 
+def _decided(docs: DataFrame, decide) -> DataFrame:
+    """Rows of ``docs`` that ``decide(frame, id_col, text_col, keep)`` returns; column names cannot clash with its own."""
+    inner = [f"__c{k}" for k in range(len(docs.columns))]
+    of = dict(zip(docs.columns, inner))
+    return decide(docs.toDF(*inner), of["doc_id"], of["text"], inner).select(*inner).toDF(*docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar does not reject."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), folds=TOXIC_FOLDS[0], held_out=TOXIC_FOLDS[1])
-    with_text = docs.withColumn("__whole", F.col("text"))
-    scored = toxicity.score_toxicity(with_text, model, keep=[c for c in with_text.columns if c != "text"])
-    return scored.where("predicted = 0").withColumn("text", F.col("__whole")).select(*docs.columns)
+    return _decided(docs, lambda df, i, t, keep: toxicity.score_toxicity(df, model, i, t, keep=keep).where("predicted = 0"))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network knows; undetermined and doubtful ones go."""
     net = langid.train(docs, folds=LANG_FOLDS[0], held_out=LANG_FOLDS[1])
-    with_text = docs.withColumn("__whole", F.col("text"))
-    found = langid.identify_language(with_text, net, keep=[c for c in with_text.columns if c != "text"])
     known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return found.where(known).withColumn("text", F.col("__whole")).select(*docs.columns)
+    return _decided(docs, lambda df, i, t, keep: langid.identify_language(df, net, i, t, keep=keep).where(known))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
