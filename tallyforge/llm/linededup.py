@@ -15,7 +15,7 @@ shorter than ``min_chars`` take part by equality only: a few edits there are ano
 No step gathers a line's copies: equal lines are folded by a partial minimum, and a
 document learns only which of its own lines stay. Distinct lines that share a segment do
 meet pairwise: a large family of different lines with one segment in common costs the
-square of its size in key matches (16 bytes a side), though few of them reach the texts.
+square of its size in comparisons of letter counts inside the key join, though few pairs leave it.
 """
 
 from __future__ import annotations
@@ -68,16 +68,24 @@ def probe_keys(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     return rows.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.xxhash64(F.substring("line", F.col("at"), F.col("size")), "i", "m").alias("key"))
 
 
-#: Characters whose counts are compared before an edit distance is computed; any set is sound.
-_COUNTED = "etaoinrshldu "
+#: Characters whose counts (modulo 32) a line's sketch holds, five bits each; any set is sound.
+_COUNTED = "etaoinrshldu"
 
 
-def _bags_are_near(x: Column, y: Column, max_edits: int) -> Column:
+def letter_sketch(line: Column) -> Column:
+    count = lambda c: (F.char_length(line) - F.char_length(F.translate(line, c, ""))).cast("long")
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(_COUNTED):
+        out = out.bitwiseOR(F.shiftleft(count(c).bitwiseAND(F.lit(31).cast("long")), 5 * i))
+    return out
+
+
+def _sketches_are_near(x: Column, y: Column, max_edits: int) -> Column:
     """Necessary for nearness: an edit changes at most two character counts by one."""
-    count = lambda t, c: F.char_length(t) - F.char_length(F.translate(t, c, ""))
-    gap = F.lit(0)
-    for c in _COUNTED:
-        gap = gap + F.abs(count(x, c) - count(y, c))
+    gap = F.lit(0).cast("long")
+    for i in range(len(_COUNTED)):
+        d = (F.shiftrightunsigned(x, 5 * i).bitwiseAND(F.lit(31).cast("long")) - F.shiftrightunsigned(y, 5 * i).bitwiseAND(F.lit(31).cast("long"))).bitwiseAND(F.lit(31).cast("long"))
+        gap = gap + F.least(d, F.lit(32).cast("long") - d)
     return gap <= 2 * max_edits
 
 
@@ -166,12 +174,13 @@ def banded_edit_distance(a: Column, b: Column, max_edits: int = MAX_EDITS) -> Co
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h1, h2, line, n, doc, no, copies): each distinct non-blank line, its first place and how often it occurs.
 
-    A line is known by 96 bits of hash. The table is written in buckets of that hash, as
-    the grouping left it, so that texts are later fetched without moving the table.
+    A line is known by 64 bits of hash and 60 of letter counts; the counts also rule out
+    far pairs before any text is read. The table is written in buckets of these, as the
+    grouping left it, so that texts are later fetched without moving the table.
     """
     spark = docs.sparkSession
     lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("no", "line")).where("line rlike '\\\\S'")
-    keyed = lines.select(F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "line", "doc", "no")
+    keyed = lines.select(F.xxhash64("line").alias("h1"), letter_sketch(F.col("line")).alias("h2"), "line", "doc", "no")
     found = keyed.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("copies"))
     found = found.select("h1", "h2", "line", F.char_length("line").alias("n"), "first.doc", "first.no", "copies")
     name = f"tallyforge_lines_{uuid.uuid4().hex}"
@@ -183,15 +192,16 @@ def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def near_line_pairs(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Distinct ``lines(h1, h2, line, n)`` -> ``(a1, a2, b1, b2)``: pairs within ``max_edits`` edits, each pair once."""
     long = lines.where(F.col("n") >= min_chars)
-    met = index_keys(long, max_edits).join(probe_keys(long, max_edits, min_chars), "key")
+    filed, asked = index_keys(long, max_edits), probe_keys(long, max_edits, min_chars)
+    near = _sketches_are_near(F.col("a2"), F.col("b2"), max_edits) & ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2")))
+    met = filed.join(asked, (filed["key"] == asked["key"]) & near).select("a1", "a2", "b1", "b2")
     a, b = F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))
-    met = met.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    met = met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     met = cut(met.select("a.h1", "a.h2", F.col("b.h1").alias("b1"), F.col("b.h2").alias("b2")).distinct(), "line-candidates")
     texts = long.select("h1", "h2", "line")
     x = met.join(texts.withColumnRenamed("line", "x"), ["h1", "h2"]).select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), "x", F.col("b1").alias("h1"), F.col("b2").alias("h2"))
     both = x.join(texts.withColumnRenamed("line", "y"), ["h1", "h2"])
-    fine = _bags_are_near(F.col("x"), F.col("y"), max_edits) & _may_be_near(F.col("x"), F.col("y"), max_edits)
-    checked = both.where(fine).select("a1", "a2", F.col("h1").alias("b1"), F.col("h2").alias("b2"), _trimmed(F.col("x"), F.col("y")).alias("t"))
+    checked = both.where(_may_be_near(F.col("x"), F.col("y"), max_edits)).select("a1", "a2", F.col("h1").alias("b1"), F.col("h2").alias("b2"), _trimmed(F.col("x"), F.col("y")).alias("t"))
     checked = cut(checked, "line-pairs").select("a1", "a2", "b1", "b2", "t.x", "t.y")
     return checked.where(banded_edit_distance(F.col("x"), F.col("y"), max_edits) <= max_edits).select("a1", "a2", "b1", "b2")
 
