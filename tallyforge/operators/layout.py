@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,10 +64,11 @@ def rows_of(blocks) -> str:
     return "\n\n".join(_page_rows(p.drop(columns="page")) for _, p in frame.groupby("page", sort=True))
 
 
-@F.pandas_udf(T.StringType())
-def _rows_udf(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in blocks:
-        yield s.map(rows_of, na_action=None)
+@F.arrow_udf(T.StringType())
+def _rows_udf(blocks: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for a in blocks:
+        # one document's blocks as Python objects at a time: whole texts of a batch would not fit in memory
+        yield pa.array((rows_of(document.as_py()) for document in a), pa.string())
 
 
 def to_rows(blocks: Column) -> Column:

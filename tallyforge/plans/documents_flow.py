@@ -94,7 +94,7 @@ q("F6_to_wire", "answers", f"SELECT document_id, CAST({_TOTAL} AS STRING) AS tot
 
 # ---- geometry: a block a word, in a grid of ten words a line
 def blocks_of(docs: DataFrame) -> DataFrame:
-    words = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 200)
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     block = lambda w, i: F.struct(w.alias("text"), F.array((i % 10 * 100).cast("int"), (F.floor(i / 10) * 30).cast("int"), (i % 10 * 100 + F.char_length(w) * 9).cast("int"), (F.floor(i / 10) * 30 + 20).cast("int")).alias("bbox"), F.lit(0.9).alias("confidence"), F.lit(1).alias("page"), F.lit(None).cast("array<array<double>>").alias("polygon"))
     return docs.select("doc_id", "text", F.transform(words, block).alias("blocks"))
 

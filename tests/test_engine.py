@@ -101,3 +101,17 @@ def test_pipeline_streams(spark, tmp_path):
     pipeline.extract(spark, f"{tmp_path}/ocr", schema + ", status string, batch int", d, lambda b: b, dt.date(2026, 1, 1), f"{tmp_path}/out", f"{tmp_path}/c2").awaitTermination()
     got = {r.document_id: r.status for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {1: "committed", 2: "needs_review", 3: "unsupported"}
+
+
+def test_geometry_reads_whole_documents(spark, tmp_path):
+    texts = ["", "one two", " ".join(f"w{k}" for k in range(199)), "\n".join(f"w{k}" for k in range(457))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda name: {r.doc_id: r for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    words = {k: t.split() for k, t in enumerate(texts)}
+    assert {k: (r.lines, r.words) for k, r in got("C6_layout_rows").items()} == {k: (-(-len(w) // 10), " ".join(w)) for k, w in words.items()}
+    assert {k: r.block_count for k, r in got("C35_ocr_view").items()} == {k: len(w) for k, w in words.items()}
+    assert {k: r.blocks for k, r in got("S15_blocks_json").items()} == {k: len(w) for k, w in words.items()}
+    assert {k: r.has_text for k, r in got("C5_extraction_text").items()} == {k: len(w) > 0 for k, w in words.items()}
+    assert {k: r.confidence for k, r in got("A22_mean_confidence").items()} == {k: 0.9 if w else None for k, w in words.items()}
+    medians = {r.document_id: (r.line_height, r.char_width) for r in registry.QUERIES["A23_layout_medians"](spark, str(tmp_path)).collect()}
+    assert medians == {k: (20.0, 9.0) for k, w in words.items() if w}
