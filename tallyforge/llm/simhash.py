@@ -128,7 +128,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group stays."""
-    found = simhash_components(docs, id_col, text_col, max_bits)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(keep, id_col, "left_semi").select(*docs.columns)
+    """One row of ``docs`` a component: the one with the smallest id, null ids last; rows of equal id are told apart by a key of their own."""
+    key = "row"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    number = F.monotonically_increasing_id()
+    # written once, so that every later read sees the same keys
+    keyed = cut(docs.withColumn(key, F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), number.alias("number"))), "keyed")
+    found = simhash_components(keyed, key, text_col, max_bits)
+    keep = found.where(F.col(f"{key}.number") == F.col("component_id.number")).select(F.col(f"{key}.number").alias("number"))
+    return keyed.join(keep, keyed[key]["number"] == keep["number"], "left_semi").select(*docs.columns)

@@ -58,6 +58,17 @@ def test_simhash_components(spark):
     assert simhash.simhash_components(docs.limit(0)).count() == 0
 
 
+def test_one_row_per_component(spark):
+    rng = random.Random(7)
+    alone, twice, nameless, mixed = (" ".join(f"{k}{rng.randint(0, 999)}" for _ in range(40)) for k in "abcd")
+    rows = [(None, alone), (1, twice), (1, twice), (2, twice), (None, nameless), (None, nameless), (None, mixed), (9, mixed), (8, mixed), (5, None), (None, "")]
+    docs = spark.createDataFrame([(k, t, "en", n) for n, (k, t) in enumerate(rows)], DOCS)
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one_per_component(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, alone), (1, twice), (None, nameless), (8, mixed), (5, None)], key=str)
+    assert simhash.keep_one_per_component(docs.withColumnRenamed("lang", "Row")).columns == ["doc_id", "text", "Row", "fingerprint"]
+    assert simhash.keep_one_per_component(docs.limit(0)).count() == 0
+
+
 def _same(a, b):
     groups = lambda c: {frozenset(k for k in c if c[k] == v) for v in c.values()}
     return groups(a) == groups(b)
