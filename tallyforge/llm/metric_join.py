@@ -17,6 +17,7 @@ in double precision from the original components.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from .common import bounded_rows, cut
 from .components import connected_components
 
 MIN_COSINE = 0.9
-#: Pivots come from a hash-chosen sample of this many distinct vectors; only speed depends on it.
+#: Pivots come from a hash-chosen sample of this many distinct vectors; only speed depends on it. Lengths that it misses have one cell each.
 PIVOT_SAMPLE = 2048
 MAX_PIVOTS = 64
 VECTORS_PER_PIVOT = 6000
@@ -131,6 +132,19 @@ def _join_blocks(r: float, cosine: float):
     return run
 
 
+def _cell_links(placed: DataFrame, tasks: int, radius: float, cosine: float) -> DataFrame:
+    """``placed(cell, home, fold, copies, v)`` -> ``(a, b, links)``: each home block with every block of its cell."""
+    counts = placed.groupBy("cell", "home").agg(F.count("*").alias("n"))
+    blocks = placed.join(F.broadcast(counts), ["cell", "home"])  # at most two rows a cell
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("fold"), F.ceil(F.col("n") / BLOCK).cast("long")))
+    blocks = blocks.groupBy("cell", "home", "block").agg(F.collect_list(F.struct("fold", "copies", "v")).alias("m"))
+    blocks = cut(blocks, "blocks")
+    homes = blocks.where("home").select("cell", F.col("m.fold").alias("folds"), F.col("m.v").alias("vs"))
+    others = blocks.select("cell", F.col("m.fold").alias("other_folds"), F.col("m.copies").alias("other_copies"), F.col("m.v").alias("other_vs"))
+    pairs = homes.repartition(tasks, "cell").join(others.repartition(tasks, "cell"), "cell")
+    return pairs.mapInPandas(_join_blocks(radius, cosine), "a long, b long, links long")
+
+
 def vector_links(folds: DataFrame, cosine: float = MIN_COSINE) -> DataFrame:
     """``folds(fold, copies, v)`` of distinct vectors -> ``(a, b, links)``.
 
@@ -143,7 +157,7 @@ def vector_links(folds: DataFrame, cosine: float = MIN_COSINE) -> DataFrame:
     groups: dict[int, list] = {}
     for row in sample:
         groups.setdefault(len(row.v), []).append(row.v)
-    out = None
+    parts = []
     for size in sorted(groups):
         here = folds.where(F.size("v") == size)
         pivots = _pivots(_unit(groups[size]), max(1, min(MAX_PIVOTS, n // VECTORS_PER_PIVOT)))
@@ -151,20 +165,14 @@ def vector_links(folds: DataFrame, cosine: float = MIN_COSINE) -> DataFrame:
         for row in _place(here, pivots, radius, None).groupBy("cell").agg(F.max("far").alias("far")).collect():  # one row a pivot
             reach[row.cell] = row.far
         placed = cut(_place(here, pivots, radius, reach), "cells")
-        counts = placed.groupBy("cell", "home").agg(F.count("*").alias("n"))
-        blocks = placed.join(F.broadcast(counts), ["cell", "home"])  # at most two rows a pivot
-        blocks = blocks.withColumn("block", F.pmod(F.xxhash64("fold"), F.ceil(F.col("n") / BLOCK).cast("long")))
-        blocks = blocks.groupBy("cell", "home", "block").agg(F.collect_list(F.struct("fold", "copies", "v")).alias("m"))
-        blocks = cut(blocks, "blocks")
-        homes = blocks.where("home").select("cell", F.col("m.fold").alias("folds"), F.col("m.v").alias("vs"))
-        others = blocks.select("cell", F.col("m.fold").alias("other_folds"), F.col("m.copies").alias("other_copies"), F.col("m.v").alias("other_vs"))
-        tasks = max(12, len(pivots))
-        pairs = homes.repartition(tasks, "cell").join(others.repartition(tasks, "cell"), "cell")
-        part = pairs.mapInPandas(_join_blocks(radius, cosine), "a long, b long, links long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        parts.append(_cell_links(placed, max(12, len(pivots)), radius, cosine))
+    rest = folds.where(~F.size("v").isin(list(groups)))
+    if not rest.isEmpty():
+        placed = cut(rest.select(F.size("v").alias("cell"), F.lit(True).alias("home"), "fold", "copies", "v"), "cells")
+        parts.append(_cell_links(placed, 12, radius, cosine))
+    if not parts:
         return folds.sparkSession.createDataFrame([], "a long, b long, links long")
-    return out
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = MIN_COSINE) -> DataFrame:

@@ -125,6 +125,20 @@ def test_vectors(spark):
     assert sorted(map(tuple, topk.exact_top_k(df).collect())) == sorted(merged)
 
 
+def test_vector_lengths_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "PIVOT_SAMPLE", 1)
+    rng = np.random.default_rng(6)
+    v = []
+    for size in (3, 5, 8):
+        at = rng.normal(size=(4, size))
+        v += [x.tolist() for x in np.concatenate([at, at + rng.normal(size=(4, size)) * 0.02, at[:1]])]
+    cosine = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    near = [(a, b) for a, b in itertools.permutations(range(len(v)), 2) if len(v[a]) == len(v[b]) and cosine(v[a], v[b]) >= 0.9]
+    low = components(range(len(v)), near)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in metric_join.near_vectors(spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")).collect()}
+    assert got == {k: (sum(a == k for a, _ in near), low[k], low[k] == k) for k in range(len(v))}
+
+
 def test_bpe_round_trip(spark):
     path = tokenizers_home.path("byte_bpe_50k.tiktoken")
     ranks = bpe.load_ranks(path)
