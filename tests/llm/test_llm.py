@@ -195,6 +195,18 @@ def test_html():
     assert html_extract.page_blocks("") == [] and html_extract.host_texts([[]]) == [""]
 
 
+def test_html_class_words():
+    read = lambda page: html_extract.host_texts([html_extract.page_blocks(page)])[0]
+    body = '<h2 id="related-work">Related work</h2><h2 id="search">Search</h2><div class="article-header"><h1>Title</h1></div><p>one <a class="share">two</a> <span class="legal">three</span> four</p>'
+    text = "Related work\nSearch\nTitle\none two three four"
+    assert read(f'<article class="post has-comments">{body}</article>') == text
+    assert read(f'<div class="content no-sidebar">{body}</div>') == text
+    assert read(f'<article>{body}<div class="ad">x</div><div role="navigation">y</div><section class="wide comments">z</section></article>') == text
+    doubt = " ".join(f"share{k}" for k in range(20))
+    pages = [html_extract.page_blocks(f'<article><p>p{k} of its own</p><div class="share-buttons">{doubt}</div></article>') for k in range(4)]
+    assert html_extract.host_texts(pages) == [f"p{k} of its own" for k in range(4)] and html_extract.host_texts(pages[:1]) == [f"p0 of its own\n{doubt}"]
+
+
 def test_classifiers():
     rng = random.Random(5)
     clean = [" ".join(rng.choice("the and of house tree water road".split()) for _ in range(40)) for _ in range(200)]
