@@ -5,17 +5,22 @@ share at least one of ``max_edits + 1`` even segments of the shorter line, at a
 the longer line that a bounded number of shifts allows. Every distinct line therefore
 files its own segments under (hash, segment number, length) and probes with the
 substrings that a line of each admissible shorter or equal length could have as segments
-(the multi-match-aware windows). Pairs that meet are checked with a banded bit-parallel
-edit distance: one word holds the ``2 * max_edits + 1`` cells of a column's band.
+(the multi-match-aware windows). A line that shares a segment is split further: its other
+segments fall into ``PIECES`` pieces each, the edits lie in at most two of them, and all
+else must agree as well, so lines that share only a segment never meet as a pair.
 
 Rule: a line instance goes when an equal line, or one within ``max_edits`` edits, occurs
 first at an earlier place (document id, then line number). Blank lines always stay. Lines
 shorter than ``min_chars`` take part by equality only: a few edits there are another line.
+So one earlier neighbour suffices: each line is first held against the first line of each
+of its groups, one pair a row, which settles a family of lines that are near each other;
+only lines still in doubt meet all earlier ones of their groups. Pairs are checked with a
+banded bit-parallel edit distance: one word holds the ``2 * max_edits + 1`` cells of a
+column's band.
 
 No step gathers a line's copies: equal lines are folded by a partial minimum, and a
-document learns only which of its own lines stay. Distinct lines that share a segment do
-meet pairwise: a large family of different lines with one segment in common costs the
-square of its size in comparisons of letter counts inside the key join, though few pairs leave it.
+document learns only which of its own lines stay. What can still meet pairwise are lines
+that differ in the same two pieces only, and by more than ``max_edits`` edits.
 """
 
 from __future__ import annotations
@@ -48,45 +53,59 @@ def _windows(max_edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _rows(values: list[tuple[int, ...]], names: str) -> Column:
-    return F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(t, names)]) for t in values]))
+#: Into so many pieces a segment is split when a key that lines share is looked at closer.
+PIECES = 4
 
 
-def index_keys(lines: DataFrame, max_edits: int) -> DataFrame:
-    """(a1, a2, key): the segments every line ``(h1, h2, line, n)`` files."""
-    rows = lines.select("h1", "h2", "line", "n", _rows([(i,) for i in range(max_edits + 1)], "i").alias("w"))
-    start, size = _segment(F.col("n"), max_edits + 1, F.col("w.i"))
-    return rows.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.xxhash64(F.substring("line", start, size), "w.i", "n").alias("key"))
+def _codes(max_edits: int) -> list[tuple[int, int, int, int]]:
+    """(role, difference, segment, shift) by code: a line files its own segments (role 0), then probes (role 1)."""
+    return [(0, 0, i, 0) for i in range(max_edits + 1)] + [(1, *w) for w in _windows(max_edits)]
 
 
-def probe_keys(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """(b1, b2, key): what lines of 0..max_edits fewer characters could have filed."""
-    rows = lines.select("h1", "h2", "line", "n", _rows(_windows(max_edits), "dis").alias("w"))
-    rows = rows.select("h1", "h2", "line", "n", "w.i", "w.s", (F.col("n") - F.col("w.d")).alias("m")).where(F.col("m") >= min_chars)
+def segment_keys(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    """(h1, h2, code, key) of ``lines(h1, h2, line, n)``: segments filed, and what lines of 0..max_edits fewer characters could have filed."""
+    codes = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip((code, *x), ("code", "role", "d", "i", "s"))]) for code, x in enumerate(_codes(max_edits))])
+    rows = lines.select("h1", "h2", "line", "n", F.explode(codes).alias("w")).select("h1", "h2", "line", "n", "w.*", (F.col("n") - F.col("w.d")).alias("m"))
     start, size = _segment(F.col("m"), max_edits + 1, F.col("i"))
-    rows = rows.select("h1", "h2", "line", "n", "i", "m", (start + F.col("s")).alias("at"), size.alias("size")).where("at >= 1 and at + size - 1 <= n")
-    return rows.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.xxhash64(F.substring("line", F.col("at"), F.col("size")), "i", "m").alias("key"))
+    rows = rows.where(F.col("m") >= min_chars).select("h1", "h2", "line", "n", "code", "i", "m", (start + F.col("s")).alias("at"), size.alias("size"))
+    return rows.where("at >= 1 and at + size - 1 <= n").select("h1", "h2", "code", F.xxhash64(F.substring("line", F.col("at"), F.col("size")), "i", "m").alias("key"))
 
 
-#: Characters whose counts (modulo 32) a line's sketch holds, five bits each; any set is sound.
-_COUNTED = "etaoinrshldu"
+def _gaps(max_edits: int, role: int, d: int, i: int, s: int) -> list[tuple[int, int, int, int]]:
+    """(first piece, second piece, shift between them, shift after them) of all places of the edits around segment i.
 
-
-def letter_sketch(line: Column) -> Column:
-    count = lambda c: (F.char_length(line) - F.char_length(F.translate(line, c, ""))).cast("long")
-    out = F.lit(0).cast("long")
-    for i, c in enumerate(_COUNTED):
-        out = out.bitwiseOR(F.shiftleft(count(c).bitwiseAND(F.lit(31).cast("long")), 5 * i))
-    return out
-
-
-def _sketches_are_near(x: Column, y: Column, max_edits: int) -> Column:
-    """Necessary for nearness: an edit changes at most two character counts by one."""
-    gap = F.lit(0).cast("long")
-    for i in range(len(_COUNTED)):
-        d = (F.shiftrightunsigned(x, 5 * i).bitwiseAND(F.lit(31).cast("long")) - F.shiftrightunsigned(y, 5 * i).bitwiseAND(F.lit(31).cast("long"))).bitwiseAND(F.lit(31).cast("long"))
-        gap = gap + F.least(d, F.lit(32).cast("long") - d)
-    return gap <= 2 * max_edits
+    Left of segment i are at most i edits, right of it at most max_edits - i. On one side
+    only, either one piece holds them all, which a pair of neighbours covers, or two pieces
+    hold one each.
+    """
+    last = (max_edits + 1) * PIECES
+    left, right = list(range(i * PIECES)), list(range((i + 1) * PIECES, last))
+    if i and i < max_edits:
+        return [(p, q, s, d) for p in left for q in right]
+    side = right if i == 0 else left
+    out = [(p, p + 1, 0, d) for p in side[:-1]]
+    between = [0] if role == 0 else [c for c in (-1, 0, 1) if abs(d - c) <= 1]
+    return out + [(p, q, c, d) for p in side for q in side if q > p + 1 for c in between]
+
+
+def gap_keys(hits: DataFrame, max_edits: int) -> DataFrame:
+    """``hits(h1, h2, doc, no, line, n, code)`` -> (h1, h2, doc, no, role, key): hashes of all a line holds but two pieces that take the edits."""
+    codes = _codes(max_edits)
+    gaps = F.array(*[F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(g, "pqcd")]) for g in _gaps(max_edits, *x)]) for x in codes])
+    by_code = lambda k: F.get(F.array(*[F.lit(x[k]) for x in codes]), F.col("code"))
+    rows = hits.select("h1", "h2", "doc", "no", "line", "n", by_code(0).alias("role"), (F.col("n") - by_code(1)).alias("m"), F.explode(F.get(gaps, F.col("code"))).alias("g"))
+    rows = rows.select("h1", "h2", "doc", "no", "line", "role", "m", "g.*")
+
+    def piece(x: Column) -> tuple[Column, Column]:
+        start, size = _segment(F.col("m"), max_edits + 1, F.floor(x / PIECES).cast("int"))
+        inner, length = _segment(size, PIECES, x % PIECES)
+        return start + inner - 1, start + inner - 1 + length  # first character, first behind
+
+    (p0, p1), (q0, q1) = piece(F.col("p")), piece(F.col("q"))
+    rows = rows.select("h1", "h2", "doc", "no", "line", "role", "m", "p", "q", "c", "d", p0.alias("p0"), p1.alias("p1"), q0.alias("q0"), q1.alias("q1"))
+    text = lambda at, size: F.substring("line", at, size)
+    parts = [text(F.lit(1), F.col("p0") - 1), text(F.col("p1") + F.col("c"), F.col("q0") - F.col("p1")), text(F.col("q1") + F.col("d"), F.col("m") - F.col("q1") + 1)]
+    return rows.select("h1", "h2", "doc", "no", "role", F.xxhash64(*parts, "m", "p", "q").alias("key"))
 
 
 def _may_be_near(x: Column, y: Column, max_edits: int) -> Column:
@@ -174,13 +193,13 @@ def banded_edit_distance(a: Column, b: Column, max_edits: int = MAX_EDITS) -> Co
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h1, h2, line, n, doc, no, copies): each distinct non-blank line, its first place and how often it occurs.
 
-    A line is known by 64 bits of hash and 60 of letter counts; the counts also rule out
-    far pairs before any text is read. The table is written in buckets of these, as the
-    grouping left it, so that texts are later fetched without moving the table.
+    A line is known by two 64-bit hashes of different seeds. The table is written in
+    buckets of these, as the grouping left it, so that texts are later fetched without
+    moving the table.
     """
     spark = docs.sparkSession
     lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("no", "line")).where("line rlike '\\\\S'")
-    keyed = lines.select(F.xxhash64("line").alias("h1"), letter_sketch(F.col("line")).alias("h2"), "line", "doc", "no")
+    keyed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line", "doc", "no")
     found = keyed.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("copies"))
     found = found.select("h1", "h2", "line", F.char_length("line").alias("n"), "first.doc", "first.no", "copies")
     name = f"tallyforge_lines_{uuid.uuid4().hex}"
@@ -189,21 +208,42 @@ def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spark.table(name)
 
 
-def near_line_pairs(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Distinct ``lines(h1, h2, line, n)`` -> ``(a1, a2, b1, b2)``: pairs within ``max_edits`` edits, each pair once."""
+def _near(pairs: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
+    """``pairs(h1, h2, e1, e2)`` of a line and one before it -> the (h1, h2) of lines within ``max_edits`` edits of theirs."""
+    texts = lines.select("h1", "h2", "line")
+    x = pairs.join(texts.withColumnRenamed("line", "x"), ["h1", "h2"]).select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), "x", F.col("e1").alias("h1"), F.col("e2").alias("h2"))
+    both = x.join(texts.withColumnRenamed("line", "y"), ["h1", "h2"]).where(_may_be_near(F.col("x"), F.col("y"), max_edits))
+    trimmed = cut(both.select(F.col("l1").alias("h1"), F.col("l2").alias("h2"), _trimmed(F.col("x"), F.col("y")).alias("t")), "line-pairs")
+    return trimmed.where(banded_edit_distance(F.col("t.x"), F.col("t.y"), max_edits) <= max_edits).select("h1", "h2").distinct()
+
+
+def later_near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Distinct ``lines(h1, h2, line, n, doc, no)`` -> (h1, h2) of those with a line within ``max_edits`` edits before them."""
+    if max_edits not in (1, 2):
+        raise ValueError("one or two edits are supported: the edits are looked for in two pieces of a line")
     long = lines.where(F.col("n") >= min_chars)
-    filed, asked = index_keys(long, max_edits), probe_keys(long, max_edits, min_chars)
-    near = _sketches_are_near(F.col("a2"), F.col("b2"), max_edits) & ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2")))
-    met = filed.join(asked, (filed["key"] == asked["key"]) & near).select("a1", "a2", "b1", "b2")
-    a, b = F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))
-    met = met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    met = cut(met.select("a.h1", "a.h2", F.col("b.h1").alias("b1"), F.col("b.h2").alias("b2")).distinct(), "line-candidates")
-    texts = long.select("h1", "h2", "line")
-    x = met.join(texts.withColumnRenamed("line", "x"), ["h1", "h2"]).select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), "x", F.col("b1").alias("h1"), F.col("b2").alias("h2"))
-    both = x.join(texts.withColumnRenamed("line", "y"), ["h1", "h2"])
-    checked = both.where(_may_be_near(F.col("x"), F.col("y"), max_edits)).select("a1", "a2", F.col("h1").alias("b1"), F.col("h2").alias("b2"), _trimmed(F.col("x"), F.col("y")).alias("t"))
-    checked = cut(checked, "line-pairs").select("a1", "a2", "b1", "b2", "t.x", "t.y")
-    return checked.where(banded_edit_distance(F.col("x"), F.col("y"), max_edits) <= max_edits).select("a1", "a2", "b1", "b2")
+    other = lambda a, b: (F.col(f"{a}.h1") != F.col(f"{b}.h1")) | (F.col(f"{a}.h2") != F.col(f"{b}.h2"))
+    # rows that share a segment with another line; a semi-join makes no pairs
+    keys = segment_keys(long, max_edits, min_chars)
+    filed, asked = (keys.where(F.col("code") <= max_edits), keys.where(F.col("code") > max_edits))
+    meet = lambda x, y: x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & other("x", "y"), "left_semi").select("h1", "h2", "code")
+    hits = cut(meet(filed, asked).unionByName(meet(asked, filed)), "segment-hits")
+    # those that share all but two pieces besides
+    rows = cut(gap_keys(hits.join(long.select("h1", "h2", "line", "n", "doc", "no"), ["h1", "h2"]), max_edits), "gap-keys")
+    line, place = F.struct("h1", "h2"), F.struct("doc", "no", "h1", "h2")
+    heads = rows.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, place)).alias(f"first{r}") for r in (0, 1)], F.min(line).alias("low"), F.max(line).alias("high"))
+    heads = heads.where("first0 is not null and first1 is not null and low <> high").select("key", "first0", "first1")
+    met = cut(rows.join(heads, "key"), "gap-hits")
+    # first each line against the first one of its group: one pair a row
+    first = F.when(F.col("role") == 1, F.col("first0")).otherwise(F.col("first1"))
+    before = met.select("h1", "h2", place.alias("place"), first.alias("first")).where("first < place and (first.h1 <> h1 or first.h2 <> h2)")
+    tried = cut(before.select("h1", "h2", F.col("first.h1").alias("e1"), F.col("first.h2").alias("e2")).distinct(), "first-pairs")
+    done = cut(_near(tried, lines, max_edits), "near-first")
+    # then lines still in doubt against all earlier ones that they share such a key with
+    doubt = met.select("h1", "h2", "doc", "no", "role", "key").join(done, ["h1", "h2"], "left_anti").alias("x")
+    pairs = doubt.join(met.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.role") != F.col("y.role")) & other("x", "y") & (F.struct("y.doc", "y.no", "y.h1", "y.h2") < F.struct("x.doc", "x.no", "x.h1", "x.h2")))
+    pairs = pairs.select("x.h1", "x.h2", F.col("y.h1").alias("e1"), F.col("y.h2").alias("e2")).distinct().join(tried, ["h1", "h2", "e1", "e2"], "left_anti")
+    return cut(_near(cut(pairs, "more-pairs"), lines, max_edits), "near-more").unionByName(done)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -212,26 +252,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     One row per input row. A null text stays null (0 lines); an empty text has one blank
     line; a document may end up with an empty text. Rows that share an id share their
     lines' places, so what stays in one stays in the other; a null id sorts first. Columns
-    of the input named n_lines or n_kept are replaced; all others pass through.
+    of the input named n_lines or n_kept are replaced; all others pass through, whatever
+    their names.
     """
+    names = docs.columns
+    inner = [f"c{k}" for k in range(len(names))]  # the caller's names cannot clash with those used here
+    docs = docs.toDF(*inner)
+    id_col, text_col = (inner[names.index(c)] for c in (id_col, text_col))
     lines = distinct_lines(docs, id_col, text_col)
-    pairs = near_line_pairs(lines, max_edits, min_chars)
-    pairs = cut(pairs, "near-lines")
-    at = lines.select("h1", "h2", F.struct("doc", "no").alias("at"))
-    ranked = pairs.withColumnsRenamed({"a1": "h1", "a2": "h2"}).join(at.withColumnRenamed("at", "pa"), ["h1", "h2"])
-    ranked = ranked.withColumnsRenamed({"h1": "a1", "h2": "a2", "b1": "h1", "b2": "h2"}).join(at.withColumnRenamed("at", "pb"), ["h1", "h2"])
-    later = ranked.select(F.when(F.col("pa") > F.col("pb"), F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"))).otherwise(F.struct("h1", "h2")).alias("k")).select("k.h1", "k.h2").distinct()
-    later = cut(later, "later-lines")
-    stay = lines.join(later, ["h1", "h2"], "left_anti").groupBy(F.col("doc").alias("__doc")).agg(F.array_sort(F.collect_set("no")).alias("__stay"))
-    joined = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__doc")), "left")
+    later = later_near_lines(lines, max_edits, min_chars)
+    stay = lines.join(later, ["h1", "h2"], "left_anti").groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("stay"))
+    joined = docs.join(stay, F.col(id_col).eqNullSafe(F.col("doc")), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     blank = F.filter(F.transform(parts, lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda i: i.isNotNull())
-    kept = F.array_sort(F.concat(F.coalesce("__stay", F.array().cast("array<int>")), blank))
-    out = joined.withColumn("__kept", kept).withColumn("__parts", parts)
-    out = out.withColumns({
-        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__parts")).cast("long"),
-        "n_kept": F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__kept")).cast("long"),
-        text_col: F.array_join(F.transform("__kept", lambda i: F.get(F.col("__parts"), i)), "\n"),
-    })
-    names = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
-    return out.select(*names, "n_lines", "n_kept")
+    kept = F.array_sort(F.concat(F.coalesce("stay", F.array().cast("array<int>")), blank))
+    out = joined.withColumn("kept", kept).withColumn("parts", parts)
+    missing = F.col(text_col).isNull()
+    counts = {"n_lines": F.when(missing, 0).otherwise(F.size("parts")).cast("long"), "n_kept": F.when(missing, 0).otherwise(F.size("kept")).cast("long")}
+    text = F.array_join(F.transform("kept", lambda i: F.get(F.col("parts"), i)), "\n")
+    found = [(text if c == text_col else F.col(c)).alias(name) for c, name in zip(inner, names) if name not in counts]
+    return out.select(*found, *[c.alias(name) for name, c in counts.items()])
