@@ -5,22 +5,24 @@ share at least one of ``max_edits + 1`` even segments of the shorter line, at a
 the longer line that a bounded number of shifts allows. Every distinct line therefore
 files its own segments under (hash, segment number, length) and probes with the
 substrings that a line of each admissible shorter or equal length could have as segments
-(the multi-match-aware windows). A line that shares a segment is split further: its other
-segments fall into ``PIECES`` pieces each, the edits lie in at most two of them, and all
-else must agree as well, so lines that share only a segment never meet as a pair.
+(the multi-match-aware windows). For a line that shares a segment, the places beside it
+that may hold the edits are halved again and again: one half of each must agree as well,
+so lines that share only a segment drop out before any pair is made.
 
 Rule: a line instance goes when an equal line, or one within ``max_edits`` edits, occurs
 first at an earlier place (document id, then line number). Blank lines always stay. Lines
 shorter than ``min_chars`` take part by equality only: a few edits there are another line.
 So one earlier neighbour suffices: each line is first held against the first line of each
 of its groups, one pair a row, which settles a family of lines that are near each other;
-only lines still in doubt meet all earlier ones of their groups. Pairs are checked with a
-banded bit-parallel edit distance: one word holds the ``2 * max_edits + 1`` cells of a
+only lines still in doubt meet all earlier ones of their groups, and leave the join as a
+pair only if the places themselves are near. Pairs are checked with a banded bit-parallel
+edit distance: one word holds the ``2 * max_edits + 1`` cells of a
 column's band.
 
 No step gathers a line's copies: equal lines are folded by a partial minimum, and a
-document learns only which of its own lines stay. What can still meet pairwise are lines
-that differ in the same two pieces only, and by more than ``max_edits`` edits.
+document learns only which of its own lines stay. What is still compared pairwise, place
+by place inside the join, are lines that differ by more than ``max_edits`` edits, but only
+in the same two small places.
 """
 
 from __future__ import annotations
@@ -53,59 +55,89 @@ def _windows(max_edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-#: Into so many pieces a segment is split when a key that lines share is looked at closer.
-PIECES = 4
+#: So often the two places that may hold a line's edits are halved before lines meet as pairs.
+HALVINGS = 2
 
 
-def _codes(max_edits: int) -> list[tuple[int, int, int, int]]:
-    """(role, difference, segment, shift) by code: a line files its own segments (role 0), then probes (role 1)."""
-    return [(0, 0, i, 0) for i in range(max_edits + 1)] + [(1, *w) for w in _windows(max_edits)]
+#: The low bits of a line's second hash are left clear; a key's row holds its code there and so stays narrow.
+_CODE_BITS = 5
 
 
-def segment_keys(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """(h1, h2, code, key) of ``lines(h1, h2, line, n)``: segments filed, and what lines of 0..max_edits fewer characters could have filed."""
-    codes = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip((code, *x), ("code", "role", "d", "i", "s"))]) for code, x in enumerate(_codes(max_edits))])
-    rows = lines.select("h1", "h2", "line", "n", F.explode(codes).alias("w")).select("h1", "h2", "line", "n", "w.*", (F.col("n") - F.col("w.d")).alias("m"))
+def _codes(max_edits: int) -> list[tuple[int, int, int]]:
+    """(difference, segment, shift) by code: first the segments a line files, then what it probes with besides those."""
+    filed = [(0, i, 0) for i in range(max_edits + 1)]
+    return filed + [w for w in _windows(max_edits) if w not in filed]
+
+
+def segment_keys(lines: DataFrame, max_edits: int, min_chars: int, codes: range) -> DataFrame:
+    """(h1, who, key) of ``lines(h1, h2, line, n)``: hashes of the segments that the codes name; who is h2 plus the code."""
+    of = _codes(max_edits)
+    wanted = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip((code, *of[code]), ("code", "d", "i", "s"))]) for code in codes])
+    rows = lines.select("h1", "h2", "line", "n", F.explode(wanted).alias("w")).select("h1", "h2", "line", "n", "w.*", (F.col("n") - F.col("w.d")).alias("m"))
     start, size = _segment(F.col("m"), max_edits + 1, F.col("i"))
     rows = rows.where(F.col("m") >= min_chars).select("h1", "h2", "line", "n", "code", "i", "m", (start + F.col("s")).alias("at"), size.alias("size"))
-    return rows.where("at >= 1 and at + size - 1 <= n").select("h1", "h2", "code", F.xxhash64(F.substring("line", F.col("at"), F.col("size")), "i", "m").alias("key"))
+    return rows.where("at >= 1 and at + size - 1 <= n").select("h1", F.col("h2").bitwiseOR(F.col("code").cast("long")).alias("who"), F.xxhash64(F.substring("line", F.col("at"), F.col("size")), "i", "m").alias("key"))
 
 
-def _gaps(max_edits: int, role: int, d: int, i: int, s: int) -> list[tuple[int, int, int, int]]:
-    """(first piece, second piece, shift between them, shift after them) of all places of the edits around segment i.
+def opened(hits: DataFrame, max_edits: int) -> DataFrame:
+    """``hits(h1, h2, doc, no, line, n, role, code)`` -> rows of the places that may hold the edits.
 
-    Left of segment i are at most i edits, right of it at most max_edits - i. On one side
-    only, either one piece holds them all, which a pair of neighbours covers, or two pieces
-    hold one each.
+    Left of segment i are at most i edits, right of it at most ``max_edits - i``. So either
+    all lie on one side (``wide``: up to two in u), or at most one in each of u and v. c and
+    e say by how much u and v are longer than in the line that filed; key hashes the rest.
     """
-    last = (max_edits + 1) * PIECES
-    left, right = list(range(i * PIECES)), list(range((i + 1) * PIECES, last))
-    if i and i < max_edits:
-        return [(p, q, s, d) for p in left for q in right]
-    side = right if i == 0 else left
-    out = [(p, p + 1, 0, d) for p in side[:-1]]
-    between = [0] if role == 0 else [c for c in (-1, 0, 1) if abs(d - c) <= 1]
-    return out + [(p, q, c, d) for p in side for q in side if q > p + 1 for c in between]
-
-
-def gap_keys(hits: DataFrame, max_edits: int) -> DataFrame:
-    """``hits(h1, h2, doc, no, line, n, code)`` -> (h1, h2, doc, no, role, key): hashes of all a line holds but two pieces that take the edits."""
-    codes = _codes(max_edits)
-    gaps = F.array(*[F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(g, "pqcd")]) for g in _gaps(max_edits, *x)]) for x in codes])
-    by_code = lambda k: F.get(F.array(*[F.lit(x[k]) for x in codes]), F.col("code"))
-    rows = hits.select("h1", "h2", "doc", "no", "line", "n", by_code(0).alias("role"), (F.col("n") - by_code(1)).alias("m"), F.explode(F.get(gaps, F.col("code"))).alias("g"))
-    rows = rows.select("h1", "h2", "doc", "no", "line", "role", "m", "g.*")
-
-    def piece(x: Column) -> tuple[Column, Column]:
-        start, size = _segment(F.col("m"), max_edits + 1, F.floor(x / PIECES).cast("int"))
-        inner, length = _segment(size, PIECES, x % PIECES)
-        return start + inner - 1, start + inner - 1 + length  # first character, first behind
-
-    (p0, p1), (q0, q1) = piece(F.col("p")), piece(F.col("q"))
-    rows = rows.select("h1", "h2", "doc", "no", "line", "role", "m", "p", "q", "c", "d", p0.alias("p0"), p1.alias("p1"), q0.alias("q0"), q1.alias("q1"))
-    text = lambda at, size: F.substring("line", at, size)
-    parts = [text(F.lit(1), F.col("p0") - 1), text(F.col("p1") + F.col("c"), F.col("q0") - F.col("p1")), text(F.col("q1") + F.col("d"), F.col("m") - F.col("q1") + 1)]
-    return rows.select("h1", "h2", "doc", "no", "role", F.xxhash64(*parts, "m", "p", "q").alias("key"))
+    of = _codes(max_edits)
+    hits = hits.withColumns({c: F.get(F.array(*[F.lit(x[k]) for x in of]), F.col("code")) for k, c in enumerate("dis")})
+    start, size = _segment(F.col("n") - F.col("d"), max_edits + 1, F.col("i"))
+    rows = hits.withColumn("at", (start + F.col("s")).cast("int")).withColumn("size", size)
+    before, after = F.substring("line", F.lit(1), F.col("at") - 1), F.substring("line", F.col("at") + F.col("size"), F.col("n"))
+    wide = (F.col("i") == 0) | (F.col("i") == max_edits)
+    d, s = F.col("d"), F.col("s")
+    key = F.xxhash64(F.substring("line", F.col("at"), F.col("size")), "i", F.col("n") - F.col("d"))
+    parts = {"wide": wide, "u": F.when(wide, F.concat(before, after)).otherwise(before), "v": F.when(wide, "").otherwise(after), "c": F.when(wide, d).otherwise(s), "e": F.when(wide, 0).otherwise(d - s)}
+    return rows.select("h1", "h2", "doc", "no", "role", key.alias("key"), *[x.alias(name) for name, x in parts.items()])
+
+
+def halved(rows: DataFrame) -> DataFrame:
+    """Each row of ``opened`` as the rows of the halves that may hold the edits; what is left out goes into the key."""
+
+    def halves(x: Column, c: Column) -> list[tuple[Column, Column]]:
+        """(clean, rest) of a place with at most one edit: either half of it is clean."""
+        w = F.char_length(x) - c
+        h = F.floor(w / 2).cast("int")
+        return [(F.left(x, h), F.substring(x, h + 1, F.char_length(x))), (F.right(x, w - h), F.left(x, h + c))]
+
+    def two(u: Column, v: Column, c: Column, e: Column, tag: int) -> list[Column]:
+        return [_place(False, tag + 2 * j + k, (cu, cv), (u1, v1), (c, e)) for j, (cu, u1) in enumerate(halves(u, c)) for k, (cv, v1) in enumerate(halves(v, e))]
+
+    u, v, c, e, none = F.col("u"), F.col("v"), F.col("c"), F.col("e"), F.lit("")
+    w = F.char_length(u) - c
+    h = F.floor(w / 2).cast("int")
+    wide = [_place(True, 8 + k, (clean, none), (rest, none), (c, F.lit(0))) for k, (clean, rest) in enumerate(halves(u, c))]
+    for x in (-1, 0, 1):  # one edit on each side of the middle, the second half x characters later
+        fits = (F.abs(c - x) <= 1) & (h + x >= 0) & (F.col("role") == 1 if x else F.lit(True))
+        wide += [F.when(fits, y) for y in two(F.left(u, h + x), F.substring(u, h + x + 1, F.char_length(u)), F.lit(x), c - x, 4)]
+    found = F.explode(F.when(F.col("wide"), F.array_compact(F.array(*wide))).otherwise(F.array(*two(u, v, c, e, 0))))
+    return rows.select("h1", "h2", "doc", "no", "role", "key", found.alias("x")).select("h1", "h2", "doc", "no", "role", F.xxhash64("key", "x.tag", "x.a", "x.b").alias("key"), "x.wide", "x.u", "x.v", "x.c", "x.e")
+
+
+def _place(wide: bool, tag: int, clean: tuple, rest: tuple, longer: tuple) -> Column:
+    values = (F.lit(wide), F.lit(tag), *clean, *rest, *(x.cast("int") for x in longer))
+    return F.struct(*[x.alias(name) for x, name in zip(values, ("wide", "tag", "a", "b", "u", "v", "c", "e"))])
+
+
+def _others(a: str, b: str) -> Column:
+    return (F.col(f"{a}.key") == F.col(f"{b}.key")) & ((F.col(f"{a}.h1") != F.col(f"{b}.h1")) | (F.col(f"{a}.h2") != F.col(f"{b}.h2")))
+
+
+def _few_edits(wide: Column, u: Column, v: Column, u2: Column, v2: Column, max_edits: int) -> Column:
+    """Whether two rows with one key differ in so few characters as their places allow."""
+    return F.when(wide, F.levenshtein(u, u2, max_edits) >= 0).otherwise((F.levenshtein(u, u2, 1) >= 0) & (F.levenshtein(v, v2, 1) >= 0))
+
+
+def _met(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Rows of x whose key another line has in y: a semi-join, so a crowded key makes no pairs."""
+    return x.alias("x").join(y.alias("y"), _others("x", "y"), "left_semi")
 
 
 def _may_be_near(x: Column, y: Column, max_edits: int) -> Column:
@@ -193,13 +225,12 @@ def banded_edit_distance(a: Column, b: Column, max_edits: int = MAX_EDITS) -> Co
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h1, h2, line, n, doc, no, copies): each distinct non-blank line, its first place and how often it occurs.
 
-    A line is known by two 64-bit hashes of different seeds. The table is written in
-    buckets of these, as the grouping left it, so that texts are later fetched without
-    moving the table.
+    A line is known by 64 and 27 bits of two hashes. The table is written in buckets of
+    these, as the grouping left it, so that texts are later fetched without moving the table.
     """
     spark = docs.sparkSession
     lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("no", "line")).where("line rlike '\\\\S'")
-    keyed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line", "doc", "no")
+    keyed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").bitwiseAND(F.lit((1 << 32) - (1 << _CODE_BITS)).cast("long")).alias("h2"), "line", "doc", "no")
     found = keyed.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("copies"))
     found = found.select("h1", "h2", "line", F.char_length("line").alias("n"), "first.doc", "first.no", "copies")
     name = f"tallyforge_lines_{uuid.uuid4().hex}"
@@ -220,30 +251,40 @@ def _near(pairs: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
 def later_near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Distinct ``lines(h1, h2, line, n, doc, no)`` -> (h1, h2) of those with a line within ``max_edits`` edits before them."""
     if max_edits not in (1, 2):
-        raise ValueError("one or two edits are supported: the edits are looked for in two pieces of a line")
+        raise ValueError("one or two edits are supported: the edits are looked for in two places of a line")
     long = lines.where(F.col("n") >= min_chars)
-    other = lambda a, b: (F.col(f"{a}.h1") != F.col(f"{b}.h1")) | (F.col(f"{a}.h2") != F.col(f"{b}.h2"))
-    # rows that share a segment with another line; a semi-join makes no pairs
-    keys = segment_keys(long, max_edits, min_chars)
-    filed, asked = (keys.where(F.col("code") <= max_edits), keys.where(F.col("code") > max_edits))
-    meet = lambda x, y: x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & other("x", "y"), "left_semi").select("h1", "h2", "code")
-    hits = cut(meet(filed, asked).unionByName(meet(asked, filed)), "segment-hits")
-    # those that share all but two pieces besides
-    rows = cut(gap_keys(hits.join(long.select("h1", "h2", "line", "n", "doc", "no"), ["h1", "h2"]), max_edits), "gap-keys")
-    line, place = F.struct("h1", "h2"), F.struct("doc", "no", "h1", "h2")
-    heads = rows.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, place)).alias(f"first{r}") for r in (0, 1)], F.min(line).alias("low"), F.max(line).alias("high"))
-    heads = heads.where("first0 is not null and first1 is not null and low <> high").select("key", "first0", "first1")
-    met = cut(rows.join(heads, "key"), "gap-hits")
+    own = max_edits + 1
+    filed, asked = (segment_keys(long, max_edits, min_chars, codes) for codes in (range(own), range(own, len(_codes(max_edits)))))
+
+    def met(x: DataFrame, y: DataFrame, role: int) -> DataFrame:
+        apart = (F.col("x.h1") != F.col("y.h1")) | (F.shiftright("x.who", _CODE_BITS) != F.shiftright("y.who", _CODE_BITS))
+        found = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & apart, "left_semi")
+        mask = F.lit((1 << _CODE_BITS) - 1).cast("long")
+        return found.select("h1", F.col("who").bitwiseAND(F.bitwise_not(mask)).alias("h2"), F.lit(role).alias("role"), F.col("who").bitwiseAND(mask).cast("int").alias("code"))
+
+    # lines that share a segment with another; equal segments at equal places meet as both filed and asked
+    twins = met(filed, filed, 0)
+    hits = twins.unionByName(twins.withColumn("role", F.lit(1))).unionByName(met(filed, asked, 0)).unionByName(met(asked, filed, 1))
+    hits = cut(hits.distinct(), "segment-hits")
+    rows = opened(hits.join(long.select("h1", "h2", "line", "n", "doc", "no"), ["h1", "h2"]), max_edits)
+    for _ in range(HALVINGS):
+        rows = cut(halved(rows), "halves")
+        rows = _met(rows.where("role = 0"), rows.where("role = 1")).unionByName(_met(rows.where("role = 1"), rows.where("role = 0")))
+    rows = cut(rows.select("h1", "h2", "doc", "no", "role", "key", "wide", "u", "v").distinct(), "halves-met")
+    place = F.struct("doc", "no", "h1", "h2", "u", "v")
+    heads = rows.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, place)).alias(f"first{r}") for r in (0, 1)])
     # first each line against the first one of its group: one pair a row
     first = F.when(F.col("role") == 1, F.col("first0")).otherwise(F.col("first1"))
-    before = met.select("h1", "h2", place.alias("place"), first.alias("first")).where("first < place and (first.h1 <> h1 or first.h2 <> h2)")
-    tried = cut(before.select("h1", "h2", F.col("first.h1").alias("e1"), F.col("first.h2").alias("e2")).distinct(), "first-pairs")
-    done = cut(_near(tried, lines, max_edits), "near-first")
+    tried = rows.join(heads, "key").select("h1", "h2", place.alias("place"), "wide", "u", "v", first.alias("first")).where("first < place and (first.h1 <> h1 or first.h2 <> h2)")
+    tried = tried.where(_few_edits(F.col("wide"), F.col("u"), F.col("v"), F.col("first.u"), F.col("first.v"), max_edits))
+    done = cut(_near(tried.select("h1", "h2", F.col("first.h1").alias("e1"), F.col("first.h2").alias("e2")).distinct(), lines, max_edits), "near-first")
     # then lines still in doubt against all earlier ones that they share such a key with
-    doubt = met.select("h1", "h2", "doc", "no", "role", "key").join(done, ["h1", "h2"], "left_anti").alias("x")
-    pairs = doubt.join(met.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.role") != F.col("y.role")) & other("x", "y") & (F.struct("y.doc", "y.no", "y.h1", "y.h2") < F.struct("x.doc", "x.no", "x.h1", "x.h2")))
-    pairs = pairs.select("x.h1", "x.h2", F.col("y.h1").alias("e1"), F.col("y.h2").alias("e2")).distinct().join(tried, ["h1", "h2", "e1", "e2"], "left_anti")
-    return cut(_near(cut(pairs, "more-pairs"), lines, max_edits), "near-more").unionByName(done)
+    doubt, met_before = rows.join(done, ["h1", "h2"], "left_anti").alias("x"), rows.alias("y")
+    earlier = F.struct("y.doc", "y.no", "y.h1", "y.h2") < F.struct("x.doc", "x.no", "x.h1", "x.h2")
+    few = _few_edits(F.col("x.wide"), F.col("x.u"), F.col("x.v"), F.col("y.u"), F.col("y.v"), max_edits)
+    pairs = doubt.join(met_before, _others("x", "y") & (F.col("x.role") != F.col("y.role")) & earlier & few)
+    pairs = pairs.select("x.h1", "x.h2", F.col("y.h1").alias("e1"), F.col("y.h2").alias("e2")).distinct()
+    return cut(_near(pairs, lines, max_edits), "near-more").unionByName(done)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
