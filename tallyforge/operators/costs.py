@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,10 +105,12 @@ def document_costs(extractions: DataFrame) -> DataFrame:
 def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """cost_usd of ``calls(model, input_tokens, output_tokens, cache_read_tokens)`` from a price list per million tokens.
 
-    A release date at the end of a model name is not part of the name; unknown models cost 0.
-    ``prices(name, input, output, cached)`` is a dimension; it joins on its key.
+    A model that is listed by its exact name costs that; otherwise a release date at the
+    end is not part of the name. Unknown models cost 0. The amount is exact: six places
+    are for storage and display. ``prices(name, input, output, cached)`` is a dimension.
     """
-    named = calls.withColumn("name", F.regexp_replace("model", r"-\d{8}$", ""))
+    dated = calls.join(prices.select(F.col("name").alias("model"), F.lit(True).alias("listed")), "model", "left")
+    named = dated.withColumn("name", F.when(F.col("listed"), F.col("model")).otherwise(F.regexp_replace("model", r"-\d{8}$", ""))).drop("listed")
     d = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(18,6)")
     total = sum((F.coalesce(F.col(t), F.lit(0)).cast("decimal(12,0)") * d(p) for t, p in (("output_tokens", "output"), ("cache_read_tokens", "cached"))), F.coalesce("input_tokens", F.lit(0)).cast("decimal(12,0)") * d("input"))
-    return named.join(prices, "name", "left").withColumn("cost_usd", F.bround(total / 1_000_000, 6).cast("decimal(12,6)")).drop("name", "input", "output", "cached")
+    return named.join(prices, "name", "left").withColumn("cost_usd", (total.cast("decimal(30,6)") * F.lit(Decimal("0.000001"))).cast("decimal(30,12)")).drop("name", "input", "output", "cached")

@@ -348,19 +348,30 @@ def _all(conditions: list[Column]) -> Column:
 
 def evidence_expr(d: Definition, text: Column) -> Column:
     """struct(hits, score); both zero below the type's minimum share or without a required term."""
-    m, haystack = d.matches, normalise(text)
+    return bind(F.struct(text.alias("text"), normalise(text).alias("folded")), lambda t: _evidence(d, t["text"], t["folded"]))
+
+
+def _evidence(d: Definition, text: Column, haystack: Column) -> Column:
+    m = d.matches
     signals = len(m.keywords) + len(m.patterns)
-    hits = reduce(lambda a, b: a + b, [has_word(haystack, k).cast("int") for k in m.keywords] + [text.rlike(java_pattern(p)).cast("int") for p in m.patterns], F.lit(0))
-    if signals == 0:
-        hits, score = F.lit(len(m.require_all)), F.lit(1.0 if m.require_all else 0.0)
-    else:
-        score = hits.cast("double") / F.lit(float(signals))
+    if signals:
+        return bind(_signal_hits(m, text, haystack), lambda hits: _counted(m, hits, hits.cast("double") / F.lit(float(signals)), haystack))
+    return _counted(m, F.lit(len(m.require_all)), F.lit(1.0 if m.require_all else 0.0), haystack)
+
+
+def _signal_hits(m: Matchers, text: Column, haystack: Column) -> Column:
+    return reduce(lambda a, b: a + b, [has_word(haystack, k).cast("int") for k in m.keywords] + [text.rlike(java_pattern(p)).cast("int") for p in m.patterns], F.lit(0))
+
+
+def _counted(m: Matchers, hits: Column, score: Column, haystack: Column) -> Column:
     counts = F.coalesce(_all([has_word(haystack, t) for t in m.require_all]) & (score >= m.min_score), F.lit(False))
-    return F.struct(F.when(counts, hits).otherwise(0).alias("hits"), F.when(counts, score).otherwise(0.0).alias("score"))
+    return bind(counts, lambda c: F.struct(F.when(c, hits).otherwise(0).alias("hits"), F.when(c, score).otherwise(0.0).alias("score")))
 
 
 def scores_expr(definitions: list[Definition], text: Column) -> Column:
-    return F.create_map(*[x for d in definitions for x in (F.lit(d.name), evidence_expr(d, text))])
+    """Name -> evidence; the text is normalised once for all definitions."""
+    both = F.struct(text.alias("text"), normalise(text).alias("folded"))
+    return bind(both, lambda t: F.create_map(*[x for d in definitions for x in (F.lit(d.name), _evidence(d, t["text"], t["folded"]))]))
 
 
 def route_expr(definitions: list[tuple[Definition, bool]], text: Column) -> Column:
@@ -369,12 +380,15 @@ def route_expr(definitions: list[tuple[Definition, bool]], text: Column) -> Colu
     Ranked by hits, then score, then dedicated; ties go to the first name.
     """
     ordered = sorted(definitions, key=lambda x: x[0].name, reverse=True)
-    ranked = []
-    for place, (d, dedicated) in enumerate(ordered):
-        e = evidence_expr(d, text)
-        ranked.append(F.struct(e["hits"].alias("hits"), e["score"].alias("score"), F.lit(dedicated).alias("dedicated"), F.lit(place).alias("place"), F.lit(d.name).alias("name")))
-    best = F.array_max(F.array(*ranked))
-    return F.when(best["hits"] > 0, F.struct(best["name"].alias("name"), best["hits"].alias("hits"), best["score"].alias("score"), best["dedicated"].alias("dedicated")))
+
+    def entry(place: int, d: Definition, dedicated: bool, t: Column) -> Column:
+        return bind(_evidence(d, t["text"], t["folded"]), lambda e: F.struct(e["hits"].alias("hits"), e["score"].alias("score"), F.lit(dedicated).alias("dedicated"), F.lit(place).alias("place"), F.lit(d.name).alias("name")))
+
+    def best(t: Column) -> Column:
+        return F.array_max(F.array(*[entry(place, d, dedicated, t) for place, (d, dedicated) in enumerate(ordered)]))
+
+    both = F.struct(text.alias("text"), normalise(text).alias("folded"))
+    return bind(bind(both, best), lambda b: F.when(b["hits"] > 0, F.struct(b["name"].alias("name"), b["hits"].alias("hits"), b["score"].alias("score"), b["dedicated"].alias("dedicated"))))
 
 
 def profile_expr(d: Definition, text: Column) -> Column:

@@ -33,10 +33,10 @@ def read_at(extractions: DataFrame) -> DataFrame:
 
 
 def merged_history(events: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Events and corrections of each document in order of time."""
+    """Events and corrections of all documents; sort one document's by created_at, kind and id where they are shown."""
     a = events.select("document_id", F.lit("event").alias("kind"), "id", F.col("to_status").alias("what"), "created_at")
     b = corrections.select("document_id", F.lit("correction").alias("kind"), "id", F.col("field").alias("what"), "created_at")
-    return a.unionByName(b).orderBy("document_id", "created_at", "kind", "id")
+    return a.unionByName(b)
 
 
 def document_detail(documents: DataFrame, events: DataFrame, extractions: DataFrame) -> DataFrame:

@@ -37,8 +37,19 @@ def after_failure(jobs: DataFrame, now: dt.datetime) -> DataFrame:
 
 
 def final_status(jobs: DataFrame) -> DataFrame:
-    """What a document becomes when its job fails for good, by stage."""
-    return jobs.withColumn("document_status", F.when(F.col("kind") == "ocr", "failed").otherwise("needs_review"))
+    """What a document becomes when its job fails for good, by stage: unreadable bytes fail, a failed extraction is for a person to see."""
+    return jobs.withColumn("document_status", F.when(F.col("kind") == "ocr", "ocr_failed").otherwise("needs_review"))
+
+
+def settle(jobs: DataFrame, now: dt.datetime) -> DataFrame:
+    """Failed running jobs with ``permanent`` (a refusal or unreadable bytes: no retry helps) settled.
+
+    Adds failure: refused, exhausted, or null where the job is queued again; then the
+    document keeps its status (document_status is null).
+    """
+    failure = F.when(F.col("permanent"), "refused").when(F.col("attempts") >= F.col("max_attempts"), "exhausted")
+    done = after_failure(jobs.withColumns({"failure": failure, "max_attempts": F.when(F.col("permanent"), 0).otherwise(F.col("max_attempts"))}), now)
+    return final_status(done).withColumn("document_status", F.when(F.col("failure").isNotNull(), F.col("document_status")))
 
 
 def defer_over_cap(jobs: DataFrame, spent: DataFrame, cap, now: dt.datetime) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import median
+from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,52 +17,66 @@ BLOCKS = "array<struct<text:string,bbox:array<int>,confidence:double,page:int,po
 SAME_LINE, GAP, MIN_SPAN = 0.5, 2, 15
 
 
-def _page_rows(frame: pd.DataFrame) -> str:
-    """One page's fragments (columns text, x0, y0, x1, y1, slope) as lines of text."""
-    tall = frame.y1 - frame.y0
-    height = float(tall[tall > 0].median()) if (tall > 0).any() else 1.0
-    wide = ((frame.x1 - frame.x0) / frame.text.str.len())[frame.x1 > frame.x0]
-    char = float(wide.median()) if len(wide) else 1.0
-    tilt = float(frame.slope.median()) if frame.slope.notna().any() else 0.0
-    level = (frame.y0 + frame.y1) / 2 - (frame.x0 + frame.x1) / 2 * tilt
-    frame = frame.assign(level=level).sort_values("level", kind="stable")
-    lines: list[list[int]] = []
-    total = 0.0
-    for at, y in enumerate(frame.level):
-        # against the mean level of the open line, so that a line drifts with its fragments
-        if lines and abs(y - total / len(lines[-1])) <= SAME_LINE * height:
-            lines[-1].append(at)
-            total += y
-        else:
-            lines.append([at])
-            total = y
-    out = []
-    for members in lines:
-        text = ""
-        for f in frame.iloc[members].sort_values("x0", kind="stable").itertuples():
-            column = round(f.x0 / char)
-            text = text.ljust(max(column, len(text) + GAP) if text else column) + f.text
-        out.append(text.rstrip())
-    return "\n".join(out)
+class Fragment(NamedTuple):
+    """A printed piece of text: its left edge, width, height and middle, and the slope of its outline if that is long enough."""
+
+    text: str
+    left: float
+    width: float
+    height: float
+    middle: tuple[float, float]
+    slope: float | None
+
+
+def _fragment(block) -> Fragment | None:
+    text, box, outline = (block["text"] or "").strip(), block["bbox"], block["polygon"]
+    if not text or box is None or len(box) != 4:
+        return None
+    left, top, right, bottom = map(float, box)
+    slope = None
+    if outline is not None and len(outline) >= 2:
+        (ax, ay), (bx, by) = outline[0][:2], outline[1][:2]
+        slope = (by - ay) / (bx - ax) if bx - ax >= MIN_SPAN else None
+    return Fragment(text, left, right - left, bottom - top, ((left + right) / 2, (top + bottom) / 2), slope)
+
+
+def _median(values, otherwise: float) -> float:
+    values = list(values)
+    return median(values) if values else otherwise
+
+
+def _page_rows(page: list[Fragment]) -> str:
+    """One page's fragments as lines of text."""
+    reach = SAME_LINE * _median((f.height for f in page if f.height > 0), 1.0)
+    pitch = _median((f.width / len(f.text) for f in page if f.width > 0), 1.0)
+    tilt = _median((f.slope for f in page if f.slope is not None), 0.0)
+    levels = sorted(((f.middle[1] - f.middle[0] * tilt, k) for k, f in enumerate(page)))
+    starts, total, count = [], 0.0, 0
+    for at, (level, _) in enumerate(levels):
+        # a line is as low as its fragments are on average, so it may drift
+        if not count or abs(level - total / count) > reach:
+            starts.append(at)
+            total, count = 0.0, 0
+        total, count = total + level, count + 1
+    return "\n".join(_printed([page[k] for _, k in levels[a:b]], pitch) for a, b in zip(starts, [*starts[1:], len(levels)]))
+
+
+def _printed(line: list[Fragment], pitch: float) -> str:
+    out = ""
+    for f in sorted(line, key=lambda f: f.left):
+        column = round(f.left / pitch)
+        out = out.ljust(max(column, len(out) + GAP) if out else column) + f.text
+    return out.rstrip()
 
 
 def rows_of(blocks) -> str:
     """Text of a document's blocks laid out as printed, pages apart by an empty line. Malformed and blank blocks are passed over."""
-    found = []
-    for b in blocks if blocks is not None else []:
-        box, text = b["bbox"], (b["text"] or "").strip()
-        if not text or box is None or len(box) != 4:
-            continue
-        outline, slope = b["polygon"], None
-        if outline is not None and len(outline) >= 2:
-            (ax, ay), (bx, by) = list(outline[0])[:2], list(outline[1])[:2]
-            slope = (by - ay) / (bx - ax) if bx - ax >= MIN_SPAN else None
-        found.append((1 if b["page"] is None else b["page"], text, *map(float, box), slope))
-    if not found:
-        return ""
-    frame = pd.DataFrame(found, columns=["page", "text", "x0", "y0", "x1", "y1", "slope"])
-    frame["slope"] = frame.slope.astype(float)
-    return "\n\n".join(_page_rows(p.drop(columns="page")) for _, p in frame.groupby("page", sort=True))
+    pages: dict[int, list[Fragment]] = {}
+    for block in blocks if blocks is not None else []:
+        found = _fragment(block)
+        if found is not None:
+            pages.setdefault(1 if block["page"] is None else block["page"], []).append(found)
+    return "\n\n".join(_page_rows(pages[k]) for k in sorted(pages))
 
 
 @F.arrow_udf(T.StringType())

@@ -13,10 +13,10 @@ from ..functions.scalars import clamp_limit, formula_guard, type_label
 
 # fixed values: status -> outcome
 OUTCOMES = {
-    "received": "processing", "ocr_pending": "processing", "ocr_done": "processing", "classified": "processing", "extracting": "processing", "extracted": "processing",
-    "validated": "ready", "committed": "ready", "needs_review": "needs_review", "unsupported": "unsupported", "failed": "failed", "rejected": "failed",
+    "uploaded": "processing", "ocr_done": "processing", "classified": "processing", "extracted": "processing", "reprocessing": "processing",
+    "validated": "done", "committed": "done", "synced": "done", "needs_review": "needs_review", "unsupported": "unsupported", "ocr_failed": "failed", "rejected": "failed",
 }
-OUTCOME_ORDER = ("ready", "needs_review", "processing", "unsupported", "failed")
+OUTCOME_ORDER = ("processing", "done", "needs_review", "unsupported", "failed")
 EXPORT_LIMIT = 50_000
 SORTS = ("received", "document_date")
 

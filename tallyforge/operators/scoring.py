@@ -58,11 +58,16 @@ def routing_accuracy(routed: DataFrame) -> DataFrame:
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Leaves whose outcome differs between two runs, regressions first."""
+    """Leaves whose outcome differs between two runs; ``report_order`` is for the page that shows some of them."""
     b, a = before.select("name", "path", F.col("outcome").alias("before")), after.select("name", "path", F.col("outcome").alias("after"))
     joined = b.join(a, ["name", "path"]).where("before <> after")
     out = joined.withColumns({"regression": passing(F.col("before")) & ~passing(F.col("after")), "improvement": ~passing(F.col("before")) & passing(F.col("after"))})
-    return out.orderBy(F.desc("regression"), "name", "path")
+    return out
+
+
+def report_order(changed: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` changes, regressions first: a top-k, no sort of them all."""
+    return changed.orderBy(F.desc("regression"), "name", "path").limit(limit)
 
 
 def accuracy_deltas(before: DataFrame, after: DataFrame) -> DataFrame:

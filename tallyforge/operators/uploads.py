@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +18,21 @@ def decode_base64(text: Column) -> Column:
     return F.when(fine, F.unbase64(F.when(fine, text)))
 
 
-def gate(uploads: DataFrame, content: str = "content", max_bytes: int = MAX_BYTES, allowed=ALLOWED, over_cap: bool = False) -> DataFrame:
-    """Adds size_bytes, mime_type and refusal (an HTTP status, null when accepted)."""
+def gate(uploads: DataFrame, content: str = "content", max_bytes: int = MAX_BYTES, allowed=ALLOWED, existing: DataFrame | None = None) -> DataFrame:
+    """Adds size_bytes, mime_type and refusal (an HTTP status, null when accepted).
+
+    With ``existing(organisation_id, sha256)`` the day's spending cap is reached: files that
+    would cost a call are refused (429), those that the organisation has sent before are not.
+    """
     size = F.octet_length(content)
     mime = sniff_mime(F.col(content))
     refusal = F.when(F.coalesce(size, F.lit(0)) == 0, 400).when(size > max_bytes, 413).when(~F.coalesce(mime.isin(*allowed), F.lit(False)), 415)
-    if over_cap:
-        refusal = refusal.otherwise(429)
-    return uploads.withColumns({"size_bytes": size, "mime_type": mime, "refusal": refusal})
+    out = uploads.withColumns({"size_bytes": size, "mime_type": mime, "refusal": refusal})
+    if existing is None:
+        return out
+    known = existing.select(F.col("organisation_id").alias("k_org"), F.col("sha256").alias("k_sha"), F.lit(True).alias("k_known")).distinct()
+    met = out.join(known, (F.col("organisation_id") == F.col("k_org")) & (F.sha2(F.col(content), 256) == F.col("k_sha")), "left")
+    return met.withColumn("refusal", F.when(F.col("refusal").isNotNull(), F.col("refusal")).when(F.col("k_known").isNull(), 429)).drop("k_org", "k_sha", "k_known")
 
 
 def fingerprint(uploads: DataFrame, content: str = "content") -> DataFrame:
@@ -55,8 +63,13 @@ def save_raw(uploads: DataFrame, folder: str, content: str = "content") -> None:
 
 
 def raw_exists(spark, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    try:
+        load_raw(spark, folder).limit(0).count()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def load_raw(spark, folder: str) -> DataFrame:

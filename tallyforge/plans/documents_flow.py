@@ -99,14 +99,18 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.transform(words, block).alias("blocks"))
 
 
-_words = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1:200]"
-q("C6_layout_rows", "documents", f"SELECT doc_id, CAST(ceil(least(200, len({_words})) / 10.0) AS BIGINT) AS lines, array_to_string({_words}, ' ') AS words FROM documents")(
-    lambda t: blocks_of(t).select("doc_id", layout.to_rows(F.col("blocks")).alias("rows")).select("doc_id", F.when(F.col("rows") == "", 0).otherwise(F.size(F.split("rows", "\n"))).cast("long").alias("lines"), F.trim(F.regexp_replace("rows", r"\s+", " ")).alias("words")))
-q("C5_extraction_text", "documents", "SELECT doc_id, len(trim(text)) > 0 AS has_text FROM documents")(lambda t: blocks_of(t).select("doc_id", (F.length(layout.extraction_text(F.col("blocks"), F.col("text"))) > 0).alias("has_text")))
+_words = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
+#: Rows of the grid: every word starts at its column (nine pixels a character), two blanks from the one before at least.
+_row = "list_reduce(ws[j * 10 + 1 : j * 10 + 10], lambda a, w, i: concat(rpad(a, CAST(greatest(round(100 * (i - 1) / 9.0), length(a) + 2) AS INT), ' '), w))"
+_grid = f"(SELECT doc_id, text, ws, CASE WHEN len(ws) = 0 THEN '' ELSE array_to_string(list_transform(range(CAST(ceil(len(ws) / 10.0) AS BIGINT)), lambda j: {_row}), chr(10)) END AS rows FROM (SELECT doc_id, text, {_words} AS ws FROM documents) x)"
+q("C6_layout_rows", "documents", f"SELECT doc_id, rows FROM {_grid} g")(lambda t: blocks_of(t).select("doc_id", layout.to_rows(F.col("blocks")).alias("rows")))
+q("C5_extraction_text", "documents", f"SELECT doc_id, CASE WHEN rows <> '' THEN rows ELSE text END AS extracted FROM {_grid} g")(lambda t: blocks_of(t).select("doc_id", layout.extraction_text(F.col("blocks"), F.col("text")).alias("extracted")))
 q("A22_mean_confidence", "documents", f"SELECT doc_id, CASE WHEN len({_words}) > 0 THEN 0.9 END AS confidence FROM documents")(lambda t: blocks_of(t).select("doc_id", F.round(layout.mean_confidence(F.col("blocks")), 9).alias("confidence")))
 q("A23_layout_medians", "documents", f"SELECT doc_id AS document_id, 20.0 AS line_height, 9.0 AS char_width FROM documents WHERE len({_words}) > 0")(lambda t: layout.document_medians(blocks_of(t).select(F.col("doc_id").alias("document_id"), F.explode("blocks").alias("b")).select("document_id", "b.text", *[F.col("b.bbox")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])))
-q("C35_ocr_view", "documents", f"SELECT doc_id, CAST(len({_words}) AS INT) AS block_count FROM documents")(lambda t: blocks_of(t).select("doc_id", F.size("blocks").alias("block_count")))
-q("S15_blocks_json", "documents", f"SELECT doc_id, CAST(len({_words}) AS INT) AS blocks FROM documents")(lambda t: blocks_of(t).select("doc_id", F.size(layout.parse_blocks(F.to_json("blocks"))).alias("blocks")))
+q("C35_ocr_view", "documents", f"SELECT doc_id, CAST(len({_words}) AS INT) AS block_count, CASE WHEN len({_words}) > 0 THEN 0.9 END AS confidence, CAST(length(text) AS INT) AS chars, array_to_string({_words}, '|') AS words FROM documents")(
+    lambda t: blocks_of(t).select("doc_id", F.size("blocks").alias("block_count"), F.round(layout.mean_confidence(F.col("blocks")), 9).alias("confidence"), F.char_length("text").alias("chars"), F.array_join(F.transform("blocks", lambda b: b["text"]), "|").alias("words")))
+q("S15_blocks_json", "documents", f"SELECT doc_id, CAST(len({_words}) AS INT) AS blocks, array_to_string({_words}, '|') AS words, CAST(CASE WHEN len({_words}) > 0 THEN ((len({_words}) - 1) // 10) * 30 + 20 END AS INT) AS bottom FROM documents")(
+    lambda t: blocks_of(t).select("doc_id", layout.parse_blocks(F.to_json("blocks")).alias("b")).select("doc_id", F.size("b").alias("blocks"), F.array_join(F.transform("b", lambda x: x["text"]), "|").alias("words"), F.get(F.element_at("b", F.when(F.size("b") > 0, -1))["bbox"], F.lit(3)).alias("bottom")))
 q("S14_polygon_box", "orders", "SELECT o_orderkey, CAST(o_orderkey % 50 AS INT) AS x0, CAST(o_orderkey % 7 AS INT) AS y0, CAST(o_orderkey % 50 + 30 AS INT) AS x1, CAST(o_orderkey % 7 + 12 AS INT) AS y1 FROM orders")(
     lambda t: t.withColumn("b", layout.polygon_box(F.array(*[F.array((F.col("o_orderkey") % 50 + dx).cast("double"), (F.col("o_orderkey") % 7 + dy).cast("double")) for dx, dy in ((0, 2), (30, 0), (28, 12), (1, 11))]))).select("o_orderkey", *[F.col("b")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]))
 q("S10_word_table", "orders", "SELECT o_orderkey AS document_id, CAST(count(*) AS BIGINT) AS words, max(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 0.5 END) AS confidence FROM orders GROUP BY 1")(

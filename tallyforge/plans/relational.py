@@ -17,7 +17,7 @@ START, END = dt.date(1997, 1, 1), dt.date(1998, 12, 31)
 T0 = "TIMESTAMP '1998-06-01 00:00:00'"
 NOW = dt.datetime(2024, 1, 15)
 LIVE = "is_current AND direction = 'out'"
-OUTCOME_SQL = "CASE WHEN status IN ('validated','committed') THEN 'ready' WHEN status = 'needs_review' THEN 'needs_review' WHEN status = 'unsupported' THEN 'unsupported' WHEN status IN ('failed','rejected') THEN 'failed' ELSE 'processing' END"
+OUTCOME_SQL = "CASE WHEN status IN ('validated','committed','synced') THEN 'done' WHEN status = 'needs_review' THEN 'needs_review' WHEN status = 'unsupported' THEN 'unsupported' WHEN status IN ('ocr_failed','rejected') THEN 'failed' ELSE 'processing' END"
 PASS_SQL = "('correct','absent_ok')"
 
 
@@ -88,13 +88,15 @@ q("A20_document_costs", "extractions", f"SELECT document_id, CAST(coalesce(sum({
 q("P9_cost_window", "extractions", f"SELECT id FROM extractions WHERE {_win}")(lambda t: costs.window(t, SINCE, UNTIL).select("id"))
 q("J11_organisation_names", "extractions organisations", "SELECT coalesce(o.name, e.organisation_id) AS organisation, count(*) AS calls FROM extractions e LEFT JOIN organisations o ON o.id = e.organisation_id GROUP BY 1")(lambda e, o: e.groupBy("organisation_id").agg(F.count("*").alias("calls")).join(o.select(F.col("id").alias("organisation_id"), "name"), "organisation_id", "left").select(F.coalesce("name", "organisation_id").alias("organisation"), "calls"))
 q("C28_price_calls", "extractions", """
-WITH p(name, i, o, c) AS (VALUES ('small', 1.0, 5.0, 0.1), ('medium', 3.0, 15.0, 0.3)), t AS (SELECT id, regexp_replace(concat(model_used, CASE WHEN id % 2 = 0 THEN '-20250101' ELSE '' END), '-\\d{8}$', '') AS name, input_tokens, output_tokens, cache_read_tokens FROM extractions)
-SELECT t.id, CAST(round_even(CAST(coalesce(input_tokens * i + output_tokens * o + cache_read_tokens * c, 0) AS DOUBLE) / 1000000, 6) AS DECIMAL(12,6)) AS cost_usd FROM t LEFT JOIN p ON p.name = t.name""")(
+WITH p(name, i, o, c) AS (VALUES ('small', 1.0, 5.0, 0.1), ('medium', 3.0, 15.0, 0.3), ('medium-20250101', 4.0, 16.0, 0.4)),
+t AS (SELECT id, concat(model_used, CASE WHEN id % 2 = 0 THEN '-20250101' ELSE '' END) AS model, input_tokens, output_tokens, cache_read_tokens FROM extractions),
+n AS (SELECT *, CASE WHEN model IN (SELECT name FROM p) THEN model ELSE regexp_replace(model, '-\\d{8}$', '') END AS name FROM t)
+SELECT n.id, CAST(coalesce(CAST(input_tokens AS DECIMAL(12,0)) * CAST(i AS DECIMAL(8,2)) + CAST(output_tokens AS DECIMAL(12,0)) * CAST(o AS DECIMAL(8,2)) + CAST(cache_read_tokens AS DECIMAL(12,0)) * CAST(c AS DECIMAL(8,2)), 0) * CAST(0.000001 AS DECIMAL(7,6)) AS DECIMAL(30,12)) AS cost_usd FROM n LEFT JOIN p ON p.name = n.name""")(
     lambda t: costs.price_calls(t.select("id", F.concat("model_used", F.when(F.col("id") % 2 == 0, "-20250101").otherwise("")).alias("model"), "input_tokens", "output_tokens", "cache_read_tokens"),
-                                t.sparkSession.sql("SELECT * FROM VALUES ('small', 1.0, 5.0, 0.1), ('medium', 3.0, 15.0, 0.3) AS p(name, input, output, cached)")).select("id", "cost_usd"))
+                                t.sparkSession.sql("SELECT * FROM VALUES ('small', 1.0, 5.0, 0.1), ('medium', 3.0, 15.0, 0.3), ('medium-20250101', 4.0, 16.0, 0.4) AS p(name, input, output, cached)")).select("id", "cost_usd"))
 
 # ---- listing
-q("P5_list_filters", "documents_list", f"SELECT id FROM documents_list WHERE {OUTCOME_SQL} = 'ready' AND doc_type = 'receipt' AND uploaded_at >= TIMESTAMP '1997-03-09 05:00:00' AND uploaded_at < TIMESTAMP '1998-11-01 04:00:00'")(lambda t: listing.filters(t, "ready", "receipt", None, dt.date(1997, 3, 9), dt.date(1998, 10, 31), "America/New_York").select("id"))
+q("P5_list_filters", "documents_list", f"SELECT id FROM documents_list WHERE {OUTCOME_SQL} = 'done' AND doc_type = 'receipt' AND uploaded_at >= TIMESTAMP '1997-03-09 05:00:00' AND uploaded_at < TIMESTAMP '1998-11-01 04:00:00'")(lambda t: listing.filters(t, "done", "receipt", None, dt.date(1997, 3, 9), dt.date(1998, 10, 31), "America/New_York").select("id"))
 q("P6_text_search", "documents_list", "SELECT id FROM documents_list WHERE contains(lower(supplier), '100%') OR contains(lower(original_filename), '100%')")(lambda t: listing.filters(t, q="  100% ").select("id"))
 q("P7_local_day_bounds", "documents_list", "SELECT id FROM documents_list WHERE uploaded_at >= TIMESTAMP '1997-03-29 23:00:00' AND uploaded_at < TIMESTAMP '1997-03-30 22:00:00'")(lambda t: listing.filters(t, received_from=dt.date(1997, 3, 30), received_to=dt.date(1997, 3, 30), zone="Europe/Madrid").select("id"))
 q("P8_outcome_map", "documents_list", f"SELECT id, {OUTCOME_SQL} AS outcome FROM documents_list")(lambda t: t.select("id", listing.outcome(F.col("status")).alias("outcome")))
@@ -114,7 +116,7 @@ q("P16_document_rows", "documents_list document_types", """
 WITH n AS (SELECT name, max_by(display_name, version) AS display_name FROM document_types GROUP BY 1)
 SELECT id, """ + OUTCOME_SQL + """ AS outcome, doc_type, CASE WHEN doc_type IS NOT NULL THEN coalesce(n.display_name, concat(upper(left(doc_type, 1)), substring(doc_type, 2))) END AS type_label, supplier, document_date,
 total_amount AS amount, CASE WHEN total_amount IS NOT NULL THEN total_currency END AS currency FROM documents_list d LEFT JOIN n ON n.name = d.doc_type""")(lambda t, k: listing.rows(t, listing.newest_labels(k)))
-q("A6_summary_by_outcome", "documents_list", f"SELECT o.outcome, count(d.id) AS documents FROM (VALUES ('ready'),('needs_review'),('processing'),('unsupported'),('failed')) o(outcome) LEFT JOIN (SELECT id, {OUTCOME_SQL} AS outcome FROM documents_list) d ON d.outcome = o.outcome GROUP BY 1")(lambda t: listing.summary_by_outcome(t))
+q("A6_summary_by_outcome", "documents_list", f"SELECT o.outcome, count(d.id) AS documents FROM (VALUES ('processing'),('done'),('needs_review'),('unsupported'),('failed')) o(outcome) LEFT JOIN (SELECT id, {OUTCOME_SQL} AS outcome FROM documents_list) d ON d.outcome = o.outcome GROUP BY 1")(lambda t: listing.summary_by_outcome(t))
 q("A7_summary_totals", "documents_list", "SELECT total_currency AS currency, CAST(sum(total_amount) AS DECIMAL(24,4)) AS total FROM documents_list WHERE total_amount IS NOT NULL AND total_currency IS NOT NULL GROUP BY 1")(lambda t: listing.summary_totals(t))
 q("J1_document_owner", "documents_list organisations", "SELECT d.id, o.name AS organisation FROM documents_list d JOIN organisations o ON o.id = d.organisation_id")(lambda t, o: listing.with_owner(t, o).select("id", "organisation"))
 q("J2_current_rows", "documents_list extractions ledger", """
@@ -182,8 +184,10 @@ SELECT id, CASE WHEN starts_with(h, 'FFD8FF') THEN 'image/jpeg' WHEN starts_with
 WHEN starts_with(h, '52494646') AND substring(h, 17, 8) = '57454250' THEN 'image/webp' WHEN substring(h, 9, 8) = '66747970' AND substring(h, 17, 8) IN ('68656963','68656978','68657663','6D696631') THEN 'image/heic' END AS mime_type,
 CASE WHEN h = '' THEN 400 WHEN id % 9 = 7 THEN 415 END AS refusal FROM b""")(lambda t: uploads.gate(_headers(t)).select("id", "mime_type", "refusal"))
 q("S5_upload_gate", "uploads", "SELECT id, CASE WHEN octet_length(encode(text)) = 0 THEN 400 WHEN octet_length(encode(text)) > 5000 THEN 413 ELSE 415 END AS refusal, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes FROM uploads")(lambda t: uploads.gate(t.withColumn("content", F.col("text").cast("binary")), max_bytes=5000).select("id", "refusal", F.col("size_bytes").cast("long").alias("size_bytes")))
+q("T11_gate_at_cap", "uploads", "SELECT id, CASE WHEN id % 9 IN (7, 8) THEN CASE WHEN id % 9 = 8 THEN 400 ELSE 415 END WHEN (organisation_id, id % 9) NOT IN (SELECT (organisation_id, id % 9) FROM uploads WHERE id % 4 = 0) THEN 429 END AS refusal FROM uploads")(
+    lambda t: uploads.gate(_headers(t), existing=uploads.fingerprint(_headers(t.where("id % 4 = 0"))).select("organisation_id", "sha256")).select("id", "refusal"))
 q("S7_base64_source", "uploads", "SELECT id, CASE WHEN id % 3 <> 0 THEN octet_length(encode(text)) END AS n FROM uploads")(lambda t: t.select("id", F.octet_length(uploads.decode_base64(F.concat(F.translate(F.base64(F.col("text").cast("binary")), "\r\n", ""), F.when(F.col("id") % 3 == 0, "!").otherwise("")))).cast("long").alias("n")))
-q("S8_fit_filename", "uploads", "SELECT id, CASE WHEN length(left(text, 300)) > 255 THEN concat('…', right(left(text, 300), 254)) ELSE left(text, 300) END AS name FROM uploads")(lambda t: t.select("id", S.fit_filename(F.left("text", F.lit(300))).alias("name")))
+q("S8_fit_filename", "uploads", "SELECT id, CASE WHEN length(text) > 255 THEN concat('…', right(text, 254)) ELSE text END AS name FROM uploads")(lambda t: t.select("id", S.fit_filename(F.col("text")).alias("name")))
 
 
 def _headers(t: DataFrame) -> DataFrame:
@@ -204,7 +208,11 @@ q("O5_head_of_queue", "jobs", f"SELECT id FROM jobs WHERE {_ready} ORDER BY run_
 q("T1_claim", "jobs", f"SELECT id, 'running' AS status, CAST(attempts + 1 AS INT) AS attempts FROM jobs WHERE {_ready} ORDER BY run_after, id LIMIT 25")(lambda t: jobs.claim(t, NOW, 25).select("id", "status", "attempts"))
 q("T2_reclaim_stale", "jobs", "SELECT id, CASE WHEN status = 'running' AND locked_at < TIMESTAMP '2024-01-14 23:45:00' THEN 'queued' ELSE status END AS status, attempts FROM jobs")(lambda t: jobs.reclaim_stale(t, NOW).select("id", "status", "attempts"))
 q("T3_retry_with_backoff", "jobs", "SELECT id, CASE WHEN attempts < max_attempts THEN 'queued' ELSE 'failed' END AS status, CASE WHEN attempts < max_attempts THEN TIMESTAMP '2024-01-15 00:00:00' + to_seconds(CAST(pow(4, attempts) AS BIGINT)) ELSE run_after END AS run_after FROM jobs WHERE status = 'running'")(lambda t: jobs.after_failure(t.where("status = 'running'"), NOW).select("id", "status", "run_after"))
-q("T4_final_status", "jobs", "SELECT id, CASE WHEN kind = 'ocr' THEN 'failed' ELSE 'needs_review' END AS document_status FROM jobs WHERE attempts >= max_attempts")(lambda t: jobs.final_status(t.where("attempts >= max_attempts")).select("id", "document_status"))
+q("T4_final_status", "jobs", "SELECT id, CASE WHEN kind = 'ocr' THEN 'ocr_failed' ELSE 'needs_review' END AS document_status FROM jobs WHERE attempts >= max_attempts")(lambda t: jobs.final_status(t.where("attempts >= max_attempts")).select("id", "document_status"))
+q("T4_settle_failures", "jobs", """
+SELECT id, CASE WHEN id % 3 = 0 OR attempts >= max_attempts THEN 'failed' ELSE 'queued' END AS status, CASE WHEN id % 3 = 0 THEN 'refused' WHEN attempts >= max_attempts THEN 'exhausted' END AS failure,
+CASE WHEN id % 3 = 0 OR attempts >= max_attempts THEN CASE WHEN kind = 'ocr' THEN 'ocr_failed' ELSE 'needs_review' END END AS document_status FROM jobs WHERE status = 'running'""")(
+    lambda t: jobs.settle(t.where("status = 'running'").withColumn("permanent", F.col("id") % 3 == 0), NOW).select("id", "status", "failure", "document_status"))
 q("T7_spend_cap_deferral", "jobs extractions", "WITH s AS (SELECT coalesce(sum(cost_usd), 0) >= 100 AS o FROM extractions WHERE CAST(created_at AS DATE) = DATE '2024-01-15') SELECT id, CASE WHEN o AND kind = 'extract' AND status = 'running' THEN 'queued' ELSE status END AS status, CASE WHEN o AND kind = 'extract' AND status = 'running' THEN greatest(attempts - 1, 0) ELSE attempts END AS attempts FROM jobs, s")(lambda t, e: jobs.defer_over_cap(t, costs.daily_spend(e, NOW.date()), 100, NOW).select("id", "status", "attempts"))
 q("F22_backoff", "jobs", "SELECT id, CAST(pow(4, attempts) AS BIGINT) AS seconds FROM jobs")(lambda t: t.select("id", S.backoff_seconds(F.col("attempts")).alias("seconds")))
 q("F18_duration_text", "extractions", "SELECT id, CASE WHEN s < 1 THEN concat(CAST(CAST(round(s * 1000) AS INT) AS STRING), ' ms') WHEN s < 60 THEN concat(printf('%.1f', s), ' s') WHEN s < 3600 THEN concat(CAST(CAST(round(s / 60) AS INT) AS STRING), ' min') ELSE concat(printf('%.1f', s / 3600), ' h') END AS took FROM (SELECT id, CAST(id % 7919 AS DOUBLE) / 4 AS s FROM extractions) x")(lambda t: t.select("id", S.duration_text((F.col("id") % 7919).cast("double") / 4).alias("took")))
@@ -233,7 +241,8 @@ q("F14_collapse_path", "label_leaves", "SELECT DISTINCT regexp_replace(path, '\\
 q("F16_type_label", "document_types", "SELECT DISTINCT name, concat(upper(left(name, 1)), lower(replace(substring(name, 2), '_', ' '))) AS label FROM document_types")(lambda t: t.select("name", S.type_label(F.col("name")).alias("label")).distinct())
 q("F11_whole_word", "documents", "SELECT doc_id, regexp_matches(lower(regexp_replace(text, '\\s+', ' ', 'g')), '(^|[^\\p{L}\\p{Nl}\\p{No}])license([^\\p{L}\\p{Nl}\\p{No}]|$)') AS found FROM documents")(lambda t: t.select("doc_id", S.has_word(S.normalise(F.col("text")), "license").alias("found")))
 q("F7_text_clean", "documents", "SELECT doc_id, CASE WHEN left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 200) <> '' THEN left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 200) END AS cleaned FROM documents")(lambda t: t.select("doc_id", S.clean_text(F.col("text"), 200).alias("cleaned")))
-q("F8_currency_clean", "documents", "SELECT doc_id, CASE WHEN regexp_matches(trim(left(text, 3)), '^[A-Za-z]{3}$') THEN upper(trim(left(text, 3))) END AS currency FROM documents")(lambda t: t.select("doc_id", S.clean_currency(F.left("text", F.lit(3))).alias("currency")))
+q("F8_currency_clean", "documents", "SELECT doc_id, CASE WHEN regexp_matches(trim(s), '^[A-Za-z]{3}$') THEN upper(trim(s)) END AS currency FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat(' ', lang, 'r ') WHEN 1 THEN lang ELSE text END AS s FROM documents) x")(
+    lambda t: t.select("doc_id", S.clean_currency(F.expr("CASE doc_id % 3 WHEN 0 THEN concat(' ', lang, 'r ') WHEN 1 THEN lang ELSE text END")).alias("currency")))
 q("F3_money_parse", "lineitem", "SELECT l_orderkey, l_linenumber, CASE WHEN regexp_matches(trim(s), '^-?\\d+([.,]\\d{1,2})?$') THEN TRY_CAST(replace(trim(s), ',', '.') AS DECIMAL(14,4)) END AS amount FROM (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN concat(' ', CAST(CAST(l_quantity AS INT) AS STRING), ',5 ') WHEN 1 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), '.25') WHEN 2 THEN '1,234' ELSE '€5' END AS s FROM lineitem) x")(lambda t: t.select("l_orderkey", "l_linenumber", S.parse_money(F.expr("CASE l_linenumber % 4 WHEN 0 THEN concat(' ', string(int(l_quantity)), ',5 ') WHEN 1 THEN concat(string(int(l_quantity)), '.25') WHEN 2 THEN '1,234' ELSE '€5' END")).alias("amount")))
 q("F4_date_parse", "lineitem", "SELECT l_orderkey, l_linenumber, CASE WHEN regexp_matches(s, '^\\d{4}-\\d{2}-\\d{2}$') THEN TRY_CAST(s AS DATE) END AS day FROM (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN strftime(l_shipdate, '%Y-%m-%d') WHEN 1 THEN '2026-02-30' ELSE strftime(l_shipdate, '%Y%m%d') END AS s FROM lineitem) x")(lambda t: t.select("l_orderkey", "l_linenumber", S.parse_date(F.expr("CASE l_linenumber % 3 WHEN 0 THEN date_format(l_shipdate, 'yyyy-MM-dd') WHEN 1 THEN '2026-02-30' ELSE date_format(l_shipdate, 'yyyyMMdd') END")).alias("day")))
 q("F24_utc_day_bounds", "events", "SELECT event_id, date_trunc('day', ts) AS day_start, date_trunc('day', ts) + INTERVAL 1 DAY AS tomorrow FROM events")(lambda t: t.select("event_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day_start"), (F.date_trunc("day", "ts") + F.expr("interval 1 day")).cast("timestamp_ntz").alias("tomorrow")))

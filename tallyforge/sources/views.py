@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-STATUSES = ("received", "ocr_pending", "ocr_done", "classified", "extracting", "extracted", "validated", "needs_review", "committed", "unsupported", "failed", "rejected")
+STATUSES = ("uploaded", "ocr_done", "ocr_failed", "classified", "unsupported", "extracted", "validated", "needs_review", "rejected", "committed", "synced", "reprocessing")
 
 _status = "CASE o_orderkey % 12 " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(STATUSES)) + " END"
 

@@ -32,7 +32,7 @@ def _start(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str,
 def recognise(spark: SparkSession, uploads: str, schema: str, engine: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Stage one: ``engine`` adds full_text (null where it cannot read) to uploads(document_id, organisation_id, ...)."""
     stream = spark.readStream.schema(schema).parquet(uploads)
-    status = F.when(F.col("full_text").isNull(), "failed").otherwise("ocr_done")
+    status = F.when(F.col("full_text").isNull(), "ocr_failed").otherwise("ocr_done")
     return _start(stream, lambda b: engine(b).withColumn("status", status), out, checkpoint, once)
 
 
@@ -48,7 +48,7 @@ def extract_batch(read: DataFrame, definition: D.Definition, extractor: Callable
     booked = processed.withColumn("booked", D.ledger_expr(definition, F.col("p.values")))
     matched, answered = F.col("route").isNotNull(), F.col("answer_json").isNotNull()
     clean = F.size("p.errors") == 0
-    status = F.when(~matched, "unsupported").when(~answered, "failed").when(~clean, "needs_review").when(F.col("booked.row").isNull(), "validated").otherwise("committed")
+    status = F.when(~matched, "unsupported").when(~answered, "needs_review").when(~clean, "needs_review").when(F.col("booked.row").isNull(), "validated").otherwise("committed")
     return booked.select(
         "document_id", "organisation_id", status.alias("status"), F.col("route.name").alias("doc_type"),
         F.when(matched & answered, F.col("p.errors")).alias("errors"), F.when(matched & answered, F.col("p.derived")).alias("derived"),
