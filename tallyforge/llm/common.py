@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SHARED_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``. Only a session on one machine may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
         spark.conf.set("spark.checkpoint.dir", DEFAULT_SHARED_DIR)
         found = DEFAULT_SHARED_DIR
     return found.rstrip("/")
@@ -31,7 +33,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, per_task_mb: int = 4) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Deal rows out evenly when a scan would give fewer tasks than cores; otherwise leave the scan alone.
 
     The number of tasks comes from the scan itself, so a large input is never shuffled.
@@ -45,6 +47,27 @@ def fold_of(id_col: str, folds: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
+def stratified_rows(df: DataFrame, key: str, stratum: str, rows: int) -> list:
+    """At most ``max(rows, strata)`` rows, shared evenly by the values of ``stratum``: those with the lowest hash of ``key``.
+
+    Two passes, whatever the number of strata: one counts them, one lets only rows under
+    their stratum's bound of the hash leave the tasks (about three times as many as wanted
+    at most). Repeated keys are rows of their own; the cut among them goes by the texts.
+    """
+    order = F.xxhash64(F.col(key).cast("string"), F.lit(7))
+    counts = df.groupBy(stratum).agg(F.count("*").alias("n"))
+    strata = counts.count()
+    if not strata:
+        return []
+    each = max(1, rows // strata)
+    share = F.least(F.lit(1.0), F.lit(3.0 * each) / F.col("n"))
+    bounds = counts.select(F.col(stratum).alias("stratum_"), (F.lit(-(2.0**63)) + F.lit(2.0**64) * share).alias("bound_"))
+    low = df.join(bounds, F.col(stratum) == F.col("stratum_")).where(order.cast("double") <= F.col("bound_")).withColumn("order_", order)
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("order_", key, *[c for c in df.columns if c not in (key, stratum)]))
+    found = low.withColumn("place_", place).where(F.col("place_") <= each).orderBy(stratum, "place_").select(*df.columns).collect()  # bounded as said above
+    return found
+
+
 def bounded_rows(df: DataFrame, key: str, limit: int) -> list:
     """At most ``limit`` rows, those with the lowest hash of ``key``: a fixed sample whatever the partitioning.
 

@@ -12,7 +12,9 @@ neighbouring bytes share one row: all filters together cost two table reads a by
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,24 +23,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_rows, fold_of, spread
+from .common import fold_of, spread, stratified_rows
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 UNKNOWN = "und"
-#: Bounds of the training sample: rows, and windows taken from each (at places spread over the whole text).
-SAMPLE_ROWS = 2500
-WINDOWS_PER_ROW = 3
-SAMPLE_CHARS = 20_000
+#: Bound of the training sample in rows (at least one a language); each is read whole.
+SAMPLE_ROWS = 1200
 EPOCHS = 5
 _BATCH = 64
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+@functools.cache
+def _not_letters() -> re.Pattern:
+    """Runs of anything but letters (category L): ``\\w`` takes in signs such as a superscript two, so those are named besides."""
+    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(f"[\\W\\d_{re.escape(numerals)}]+")
 
 
 def letters_only(text: str | None) -> str:
     """Lower case, every run of other characters than letters one blank."""
-    return _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    return _not_letters().sub(" ", (text or "").lower()).strip()
 
 
 def windows(raw: bytes, size: int = WINDOW) -> np.ndarray:
@@ -49,6 +55,11 @@ def windows(raw: bytes, size: int = WINDOW) -> np.ndarray:
     return out.reshape(n, size)
 
 
+def _padded(x: np.ndarray) -> np.ndarray:
+    """Zeros behind each window, so that every filter begins at every byte, in training and in use."""
+    return np.pad(x, ((0, 0), (0, max(WIDTHS) - 1)))
+
+
 class ByteCnn:
     """conv: for each width an array (width, 256, FILTERS); dense: (filters, classes)."""
 
@@ -64,8 +75,9 @@ class ByteCnn:
     # ---- training
     def _forward(self, x: np.ndarray):
         pooled, where = [], []
+        n = x.shape[1]
+        x = _padded(x)
         for table, w in zip(self.conv, WIDTHS):
-            n = x.shape[1] - w + 1
             z = sum(table[k][x[:, k : k + n]] for k in range(w))
             at = z.argmax(1)
             where.append(at)
@@ -86,6 +98,7 @@ class ByteCnn:
             for lo in range(0, len(x), _BATCH):
                 pick = order[lo : lo + _BATCH]
                 xb, n = x[pick], len(pick)
+                wide = _padded(xb)
                 h, where, p = self._forward(xb)
                 g = p.copy()
                 g[np.arange(n), y[pick]] -= 1
@@ -97,7 +110,7 @@ class ByteCnn:
                     part = gh[:, k * FILTERS : (k + 1) * FILTERS]
                     columns = np.broadcast_to(np.arange(FILTERS), part.shape)
                     for j in range(w):
-                        np.add.at(gk[j], (xb[np.arange(n)[:, None], where[k] + j], columns), part)
+                        np.add.at(gk[j], (wide[np.arange(n)[:, None], where[k] + j], columns), part)
                     grads.append(gk)
                 grads += [gh.sum(0), h.T @ g, g.sum(0)]
                 step += 1
@@ -123,9 +136,9 @@ class ByteCnn:
         head, tail = self._compile()
         out = np.empty((len(x), len(self.classes)), np.float32)
         for lo in range(0, len(x), 256):
-            xb = np.pad(x[lo : lo + 256], ((0, 0), (0, 3))).astype(np.int32)
+            xb = np.pad(_padded(x[lo : lo + 256]), ((0, 0), (0, 1))).astype(np.int32)
             pairs = xb[:, :-1] << 8 | xb[:, 1:]
-            n = x.shape[1] - max(WIDTHS) + 1
+            n = x.shape[1]
             z = head[pairs[:, :n]]
             z += tail[pairs[:, 2 : n + 2]]
             h = np.maximum(z.max(1) + self.shift, 0)
@@ -172,31 +185,20 @@ class ByteCnn:
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS) -> ByteCnn:
+    """The network trained on all windows of the texts."""
     classes = sorted(set(langs))
     net = ByteCnn(classes)
-    rng = np.random.default_rng(3)
-    xs, ys = [], []
-    for text, lang in zip(texts, langs):
-        raw = letters_only(text).encode("utf-8", "replace")
-        if not raw:
-            continue
-        for _ in range(min(WINDOWS_PER_ROW, 1 + len(raw) // WINDOW)):
-            at = int(rng.integers(0, max(1, len(raw) - WINDOW + 1)))
-            xs.append(windows(raw[at : at + WINDOW])[0])
-            ys.append(classes.index(lang))
-    if len(classes) > 1 and xs:
-        net.train(np.array(xs), np.array(ys), epochs)
+    raws = [(letters_only(text).encode("utf-8", "replace"), classes.index(lang)) for text, lang in zip(texts, langs)]
+    found = [(windows(raw), y) for raw, y in raws if raw]
+    if len(classes) > 1 and found:
+        net.train(np.concatenate([x for x, _ in found]), np.concatenate([np.full(len(x), y) for x, y in found]), epochs)
     return net
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> ByteCnn:
-    """Fits on a bounded, hash-chosen sample: up to ``rows`` rows, shared evenly by the languages, outside the held-out fold."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(F.coalesce(fold_of(id_col, folds) != held_out, F.lit(False))).where(F.char_length(text_col) <= SAMPLE_CHARS)
-    langs = [r[0] for r in known.select(lang_col).distinct().limit(1000).collect()]
-    each = max(1, rows // max(1, len(langs)))
-    picked = []
-    for lang in sorted(langs):
-        picked += bounded_rows(known.where(F.col(lang_col) == lang).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "id", each)
+    """Fits on a bounded, hash-chosen sample: up to ``rows`` rows (one a language at least), shared evenly by the languages, outside the held-out fold."""
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(F.coalesce(fold_of(id_col, folds) != held_out, F.lit(False)))
+    picked = stratified_rows(known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "id", "lang", rows)
     return fit([r.text for r in picked], [r.lang for r in picked])
 
 
@@ -208,12 +210,15 @@ def identify_language(docs: DataFrame, net: ByteCnn, id_col: str = "doc_id", tex
     """
     names = [id_col, *[c for c in (keep or []) if c != id_col]]
     fields = [docs.schema[c] for c in names]
-    rows = docs.select(*[F.col(c) for c in names], F.col(text_col).cast("string").alias("__text"))
+    inner = [f"c{k}" for k in range(len(names))]  # the caller's names cannot clash with those used here
+    rows = docs.select(*[F.col(c).alias(i) for c, i in zip(names, inner)], F.col(text_col).cast("string").alias("text"))
     net.tables = None  # compiled on the workers; the pickled network stays small
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = net.predict_batch(b.column(len(names)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*inner, "lang_pred", "score"])
 
-    return spread(rows).mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    fields = [T.StructField(i, f.dataType) for i, f in zip(inner, fields)]
+    out = spread(rows).mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return out.toDF(*names, "lang_pred", "score")

@@ -87,6 +87,25 @@ def byte_bpe_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _printed_bytes() -> dict[str, int]:
+    """The printable sign that stands for each byte in such files: itself if it prints, else the next code points from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def same_vocabulary(given: dict, ranks: dict[bytes, int]) -> bool:
+    """Whether a tokenizer file has the tokens of the rank file under the same ids, and its merges make them in that order."""
+    sign = _printed_bytes()
+    raw = lambda token: bytes(sign[c] for c in token)
+    extra = {x["content"] for x in given.get("added_tokens", [])}
+    model = given["model"]
+    if {raw(t): i for t, i in model["vocab"].items() if t not in extra} != ranks:
+        return False
+    made = [ranks[b"".join(map(raw, m.split(" ") if isinstance(m, str) else m))] for m in model["merges"]]
+    return made == sorted(made) and len(made) == len(set(made)) == len(ranks) - 256
+
+
 def twin_encoder(path: str, ranks_path: str, pattern: str) -> Callable[[list[str]], list[list[int]]]:
     """The same ids as ``byte_bpe_encoder(path)`` where the rank file is the same vocabulary.
 
@@ -98,9 +117,12 @@ def twin_encoder(path: str, ranks_path: str, pattern: str) -> Callable[[list[str
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        special = [x["content"] for x in json.load(f).get("added_tokens", [])]
+        given = json.load(f)
+    special = [x["content"] for x in given.get("added_tokens", [])]
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if not same_vocabulary(given, ranks):
+        return byte_bpe_encoder(path)
     fast = tiktoken.Encoding("twin", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     slow = None
 
@@ -155,5 +177,5 @@ def pack_documents(docs: DataFrame, encoder: Callable[[], Callable[[list[str]],
     names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
     kinds = [docs.schema[id_col].dataType, T.IntegerType(), *[T.LongType()] * 5] + [T.ArrayType(T.IntegerType())] * with_ids
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return spread(rows).mapInArrow(run, schema)

@@ -8,9 +8,9 @@ families of references are used:
   differ in at most two bits agree on all references of at least two groups, so they
   share at least one of the six cells. Since that difference is 1 - 2 * (bit i), a cell
   is stored as the masked bits themselves.
-* ``N_DENSE`` dense references. By the triangle inequality |d(x,p) - d(y,p)| <= d(x,y),
-  so a pair whose largest coordinate difference exceeds the threshold is discarded
-  before the exact check.
+* ``N_DENSE`` dense references, whose distances are written beside each fingerprint once.
+  By the triangle inequality |d(x,p) - d(y,p)| <= d(x,y), so a pair whose largest
+  coordinate difference exceeds the threshold is discarded; the rest are verified.
 
 Equal fingerprints are folded into one before any pairing. A cell with more than
 ``CELL_LIMIT`` distinct fingerprints is not paired: its members meet in the one-bit balls
@@ -21,6 +21,7 @@ makes no quadratic list.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ from .components import connected_components
 SEED = 42
 MAX_BITS = 2
 CELL_LIMIT = 48
-N_DENSE = 16
+N_DENSE = 8
 GROUPS = [0xFFFF << s for s in (0, 16, 32, 48)]
 _CHUNK = 1 << 15
 
@@ -89,14 +90,16 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, cell_limit: int
     if not 0 <= max_bits <= 2:
         raise ValueError("the four groups of references cover at most two differing bits")
     cells = [F.struct(F.lit(k).cast("byte").alias("g"), F.col("fp").bitwiseAND(F.lit(_signed(a | b))).alias("c")) for k, (a, b) in enumerate(itertools.combinations(GROUPS, 2))]
-    placed = fps.select("fp", F.explode(F.array(*cells)).alias("cell")).select("fp", "cell.g", "cell.c")
+    table = [_bits(F.col("fp"), F.lit(_signed(p))).cast("byte").alias(f"t{k}") for k, p in enumerate(dense_references())]
+    coordinates = [f"t{k}" for k in range(len(table))]
+    placed = fps.select("fp", *table, F.explode(F.array(*cells)).alias("cell")).select("fp", *coordinates, "cell.g", "cell.c")
     sizes = placed.groupBy("g", "c").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(placed.join(sizes, ["g", "c"]), "cells")
     small = shared.where(F.col("n") <= cell_limit)
-    left, right = small.select("g", "c", F.col("fp").alias("a")), small.select("g", "c", F.col("fp").alias("b"))
-    pairs = left.join(right, ["g", "c"]).where("a > b")
-    gap = F.greatest(*[F.abs(_bits(F.col("a"), F.lit(_signed(p))) - _bits(F.col("b"), F.lit(_signed(p)))) for p in dense_references()])
-    near = pairs.where(gap <= max_bits).where(_bits(F.col("a"), F.col("b")) <= max_bits).select("a", "b")
+    sides = [small.select("g", "c", F.col("fp").alias(x), *[F.col(t).alias(f"{x}{t}") for t in coordinates]) for x in "ab"]
+    pairs = sides[0].join(sides[1], ["g", "c"]).where("a > b")
+    close = functools.reduce(Column.__and__, [F.abs(F.col(f"a{t}") - F.col(f"b{t}")) <= max_bits for t in coordinates])
+    near = pairs.where(close).where(_bits(F.col("a"), F.col("b")) <= max_bits).select("a", "b")
     hot = shared.where(F.col("n") > cell_limit).select("fp").distinct()
     if max_bits == 2:
         points = [F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64))]

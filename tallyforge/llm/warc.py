@@ -93,6 +93,8 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
                     raise WarcError("a record does not begin with its version")
                 headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in fields)}
                 start = end + 4
+                if not headers.get("content-length", "").isdecimal() or "warc-type" not in headers:
+                    raise WarcError("a record states neither its length nor its type")
                 need = start + int(headers["content-length"])
             if need is not None and len(raw) > need + 4:
                 raise WarcError("a record is longer than its Content-Length")
@@ -117,7 +119,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
     keyed = rows.withColumn("sha", F.sha1("body")).withColumn("n", F.octet_length("body"))
     twins = keyed.where(F.col("n") >= min_revisit_bytes).groupBy("sha", "n").agg(F.max("id").alias("top"), F.count("*").alias("c")).where("c > 1 and top is not null").select("sha", "n", "top")
-    ready = keyed.join(twins, ["sha", "n"], "left").select("id", "url", "body", F.when(~F.col("top").eqNullSafe(F.col("id")), F.col("top")).alias("refers_to"))
+    small = F.col("n") < min_revisit_bytes  # match nothing, so they stay where they are
+    met = keyed.where(~small).join(twins, ["sha", "n"], "left").select("id", "url", "body", F.when(~F.col("top").eqNullSafe(F.col("id")), F.col("top")).alias("refers_to"))
+    ready = met.unionByName(keyed.where(small).select("id", "url", "body", F.lit(None).cast("long").alias("refers_to")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
