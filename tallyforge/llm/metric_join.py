@@ -5,13 +5,14 @@ r = sqrt(2 - 2c). Every vector's *home* is the cell of its nearest pivot. For a
 at home with pivot i and any y within r of x, the triangle inequality gives
 d(y, i) <= R_i + r (R_i: the cell's radius) and, from the plane between the two pivots,
 (d(y, i)^2 - d(y, home)^2) / (2 d(i, home)) <= r; y is copied to exactly the cells that
-meet both, so each cell can be joined on its own. A cell is dealt in blocks of at most
-``BLOCK`` vectors and a home block is joined with each block of its cell, so a crowded
-cell is many tasks of bounded memory. A pair of blocks whose distance ranges to some
-pivot are more than r apart is discarded without looking at its vectors.
-
-Equal vectors are folded first; a fold's size counts as its links, so a vector that
-fills a third of the table is one row here. Distances that fall near r are recomputed
+meet both, so each cell can be joined on its own. A cell is dealt in blocks of about
+``BLOCK`` vectors. The names of a home block and of each block of its cell are paired
+first, and every such pair is a key of its own, so a crowded cell is many tasks of bounded
+memory. The number of pivots is held at ``MAX_PIVOTS``: where vectors are nearly
+uncorrelated, each further cell would be copied most vectors.
+
+Equal vectors are folded first, by 128 bits of hash; a fold's size counts as its links, so
+a vector that fills a third of the table is one row here. Distances that fall near r are recomputed
 in double precision from the original components.
 """
 
@@ -138,10 +139,12 @@ def _cell_links(placed: DataFrame, tasks: int, radius: float, cosine: float) ->
     blocks = placed.join(F.broadcast(counts), ["cell", "home"])  # at most two rows a cell
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("fold"), F.ceil(F.col("n") / BLOCK).cast("long")))
     blocks = blocks.groupBy("cell", "home", "block").agg(F.collect_list(F.struct("fold", "copies", "v")).alias("m"))
-    blocks = cut(blocks, "blocks")
-    homes = blocks.where("home").select("cell", F.col("m.fold").alias("folds"), F.col("m.v").alias("vs"))
-    others = blocks.select("cell", F.col("m.fold").alias("other_folds"), F.col("m.copies").alias("other_copies"), F.col("m.v").alias("other_vs"))
-    pairs = homes.repartition(tasks, "cell").join(others.repartition(tasks, "cell"), "cell")
+    blocks = cut(blocks.select(F.struct("cell", "home", "block").alias("block"), "cell", "home", "m"), "blocks")
+    homes, others = blocks.where("home").select("cell", "block"), blocks.select("cell", F.col("block").alias("other"))
+    names = cut(homes.join(others, "cell").select("block", "other"), "block-pairs")
+    met = names.join(blocks.select("block", F.col("m.fold").alias("folds"), F.col("m.v").alias("vs")), "block")
+    met = met.join(blocks.select(F.col("block").alias("other"), F.col("m.fold").alias("other_folds"), F.col("m.copies").alias("other_copies"), F.col("m.v").alias("other_vs")), "other")
+    pairs = met.repartition(tasks, "block", "other")
     return pairs.mapInPandas(_join_blocks(radius, cosine), "a long, b long, links long")
 
 
@@ -158,6 +161,7 @@ def vector_links(folds: DataFrame, cosine: float = MIN_COSINE) -> DataFrame:
     for row in sample:
         groups.setdefault(len(row.v), []).append(row.v)
     parts = []
+    tasks = max(4 * folds.sparkSession.sparkContext.defaultParallelism, n // BLOCK)
     for size in sorted(groups):
         here = folds.where(F.size("v") == size)
         pivots = _pivots(_unit(groups[size]), max(1, min(MAX_PIVOTS, n // VECTORS_PER_PIVOT)))
@@ -165,11 +169,11 @@ def vector_links(folds: DataFrame, cosine: float = MIN_COSINE) -> DataFrame:
         for row in _place(here, pivots, radius, None).groupBy("cell").agg(F.max("far").alias("far")).collect():  # one row a pivot
             reach[row.cell] = row.far
         placed = cut(_place(here, pivots, radius, reach), "cells")
-        parts.append(_cell_links(placed, max(12, len(pivots)), radius, cosine))
+        parts.append(_cell_links(placed, tasks, radius, cosine))
     rest = folds.where(~F.size("v").isin(list(groups)))
     if not rest.isEmpty():
         placed = cut(rest.select(F.size("v").alias("cell"), F.lit(True).alias("home"), "fold", "copies", "v"), "cells")
-        parts.append(_cell_links(placed, 12, radius, cosine))
+        parts.append(_cell_links(placed, tasks, radius, cosine))
     if not parts:
         return folds.sparkSession.createDataFrame([], "a long, b long, links long")
     return functools.reduce(DataFrame.unionByName, parts)
@@ -184,17 +188,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     nothing; vectors of different lengths do not link. Repeated ids are rows of their own;
     a null id keeps its row.
     """
-    rows = usable_vectors(vectors, id_col, vector_col)
-    found = cut(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("fold"), "low", "copies", "v"), "folds")
-    links = cut(vector_links(found, cosine), "links")
+    rows = usable_vectors(vectors, id_col, vector_col).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
+    folded = rows.where("v is not null").groupBy("k1", "k2").agg(F.first("v").alias("v"), F.min("id").alias("low"), F.count("*").alias("copies"))
+    found = cut(folded.select(F.monotonically_increasing_id().alias("fold"), "low", "copies", "v", "k1", "k2"), "folds")
+    links = cut(vector_links(found.select("fold", "copies", "v"), cosine), "links")
     counts = links.where("a = b").groupBy(F.col("a").alias("fold")).agg(F.sum("links").alias("links"))
     parts = connected_components(links.where("a <> b").select("a", "b"))
-    named = found.select("fold", "low", "copies", "v").join(counts, "fold", "left").join(parts.withColumnRenamed("node", "fold"), "fold", "left")
-    named = named.select("v", "low", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "fold").alias("part"))
+    named = found.select("fold", "low", "copies", "k1", "k2").join(counts, "fold", "left").join(parts.withColumnRenamed("node", "fold"), "fold", "left")
+    named = named.select("k1", "k2", "low", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "fold").alias("part"))
     lows = named.groupBy("part").agg(F.min("low").alias("component_id"))
-    named = named.join(lows, "part").select("v", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
+    named = named.join(lows, "part").select("k1", "k2", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
     named = cut(named, "vector-components")
-    out = rows.join(named, "v", "left")
+    usable = rows.where("v is not null").select("id", "k1", "k2").join(named, ["k1", "k2"]).select("id", "n_links", "component_id")
+    out = usable.unionByName(rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

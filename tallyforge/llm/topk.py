@@ -1,15 +1,17 @@
 """Exact top-k by inner product: norm-sorted blocks with SVD-rotated partial sums.
 
-Candidates are dealt into blocks by descending length. The longest block is scored in
-full first and gives each query a floor: its k-th best score so far. A later block is
-skipped for a block of queries when |q| * (longest length in the block) stays below every
-floor. Inside a block, vectors are rotated by the right singular vectors of a sample, so
-that the first few coordinates hold most of the energy: a candidate survives for a query
-if the partial sum plus the Cauchy-Schwarz bound on the rest (the product of the
-residual lengths) reaches the floor. Survivors are scored exactly in integers.
-
-Queries and candidates meet as packed blocks of bounded size joined on a block number;
-no row of either side is paired with single rows of the other.
+Candidates are dealt into blocks by descending length and are worked through in waves, each
+``WAVE_GROWTH`` times as many blocks as all before. After a wave every query has a floor: its
+k-th best score so far. A block is skipped for a block of queries when |q| * (longest
+length in the block) stays below every floor. Inside a pair of blocks, vectors are rotated
+by the right singular vectors of a sample, so that the first few coordinates hold most of
+the energy: a candidate survives for a query if the partial sum plus the Cauchy-Schwarz
+bound on the rest (the product of the residual lengths) reaches the floor. Survivors are
+scored exactly in integers.
+
+The names of the blocks that may matter are paired first; packed blocks of bounded size
+then join those pairs on their names, so no key stands for more than a block. No row of
+either side is paired with single rows of the other.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +32,8 @@ QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 4096
 #: The rotation is fitted on this many hash-chosen vectors; only speed depends on it.
 ROTATION_SAMPLE = 2048
+#: Each wave takes so many times the blocks before it.
+WAVE_GROWTH = 8
 _EXACT = 2.0**53
 
 
@@ -44,118 +48,121 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
 
 
-def _pack(rows: DataFrame, block: str) -> DataFrame:
-    return rows.groupBy("size", block).agg(F.collect_list(F.struct("id", "v")).alias("m"), F.max("norm").alias("longest"))
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
-
 def _score_pair(k: int, basis: dict[int, np.ndarray]):
+    """Rows of (queries, candidates) blocks -> each query's k best of the block among those that may reach its floor."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for row in f.itertuples(index=False):
-                qid, cid = np.array(row.qids), np.array(row.cids)
-                q, c = np.array([np.asarray(v) for v in row.qs]), np.array([np.asarray(v) for v in row.cs])
-                floor = np.array(row.floors, dtype=np.float64)
-                if q.size == 0 or q.shape[1] == 0:
-                    exact = np.zeros((len(qid), len(cid)))
-                    alive = np.ones(exact.shape, bool)
-                else:
-                    size = float(np.linalg.norm(q, axis=1).max()) * float(np.linalg.norm(c, axis=1).max())
-                    if not size < _EXACT:  # also for infinities: whole numbers beyond doubles
-                        yield from _in_python(qid, q, cid, c, k)
-                        continue
-                    turn = basis.get(q.shape[1])
-                    turn = np.eye(q.shape[1]) if turn is None else turn
-                    head = max(1, q.shape[1] // 4)
-                    rq, rc = q @ turn, c @ turn
-                    rest = np.outer(np.linalg.norm(rq[:, head:], axis=1), np.linalg.norm(rc[:, head:], axis=1))
-                    bound = rq[:, :head] @ rc[:, :head].T + rest + 1e-9 * (1 + size)
-                    alive = bound >= floor[:, None]
-                    alive &= np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)) * (1 + 1e-12) + 1e-6 >= floor[:, None]
-                    exact = None
-                out = []
-                for i in range(len(qid)):
-                    at = np.flatnonzero(alive[i] & (cid != qid[i]))
-                    if not len(at):
-                        continue
-                    s = (c[at] @ q[i]) if exact is None else exact[i, at]
-                    top = _best(s, cid[at], k)
-                    out += [(int(qid[i]), int(cid[at[t]]), int(s[t])) for t in top]
-                if out:
-                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                found = _pair(row, k, basis)
+                if found:
+                    yield pd.DataFrame(found, columns=["query", "query_id", "row", "vec_id", "score"])
 
     return run
 
 
-def _in_python(qid, q, cid, c, k):
+def _pair(row, k: int, basis: dict[int, np.ndarray]) -> list[tuple]:
+    queries, rows, names = np.array(row.queries), np.array(row.rows), np.array(row.vec_ids)
+    q, c = np.array([np.asarray(v) for v in row.qs]), np.array([np.asarray(v) for v in row.cs])
+    floor = np.array(row.floors, dtype=np.float64)
+    size = float(np.linalg.norm(q, axis=1).max()) * float(np.linalg.norm(c, axis=1).max()) if q.shape[1] else 0.0
+    if not size < _EXACT:  # also for infinities: whole numbers beyond doubles
+        return _in_python(row, k)
+    if q.shape[1]:
+        turn = basis.get(q.shape[1])
+        turn = np.eye(q.shape[1]) if turn is None else turn
+        head = max(1, q.shape[1] // 4)
+        rq, rc = q @ turn, c @ turn
+        rest = np.outer(np.linalg.norm(rq[:, head:], axis=1), np.linalg.norm(rc[:, head:], axis=1))
+        alive = rq[:, :head] @ rc[:, :head].T + rest + 1e-9 * (1 + size) >= floor[:, None]
+        alive &= np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)) * (1 + 1e-12) + 1e-6 >= floor[:, None]
+    else:
+        alive = np.ones((len(q), len(c)), bool)
+    out = []
+    for i, query in enumerate(queries):
+        at = np.flatnonzero(alive[i] & (rows != query))
+        if len(at):
+            s = c[at] @ q[i]
+            for t in np.lexsort((rows[at], names[at], -s))[:k]:
+                out.append((int(query), int(row.query_ids[i]), int(rows[at[t]]), int(names[at[t]]), int(s[t])))
+    return out
+
+
+def _in_python(row, k: int) -> list[tuple]:
     limit = 2**63 - 1
-    whole = [[int(x) for x in v] for v in c.tolist()]
-    for i, v in zip(qid.tolist(), q.tolist()):
+    whole = [[int(x) for x in v] for v in row.cs]
+    out = []
+    for query, name, v in zip(row.queries, row.query_ids, row.qs):
         v = [int(x) for x in v]
-        scored = sorted((-max(-limit - 1, min(limit, sum(a * b for a, b in zip(v, w)))), j) for j, w in zip(cid.tolist(), whole) if j != i)[:k]
-        if scored:
-            yield pd.DataFrame([(i, j, -s) for s, j in scored], columns=["query_id", "vec_id", "score"])
-
+        scored = sorted((-max(-limit - 1, min(limit, sum(a * b for a, b in zip(v, w)))), j, r) for r, j, w in zip(row.rows, row.vec_ids, whole) if r != query)[:k]
+        out += [(int(query), int(name), int(r), int(j), -s) for s, j, r in scored]
+    return out
 
-def _top(found: DataFrame, k: int) -> DataFrame:
-    """At most k rows a query: a partial sorted set of k would do; here k rows a block pair arrive, so groups stay small."""
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v")))), 1, k)
-    return found.groupBy("query_id").agg(best.alias("b"))
 
-
-def _pairs(queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    q = queries.select("size", F.col("qblock"), F.col("m.id").alias("qids"), F.col("m.v").alias("qs"), "floors", F.col("longest").alias("qlong"), "lowest")
-    c = blocks.select("size", F.col("m.id").alias("cids"), F.col("m.v").alias("cs"), F.col("longest").alias("clong"))
-    met = q.join(c, "size")
-    return met.where(F.col("qlong") * F.col("clong") * (1 + 1e-12) + 1e-6 >= F.col("lowest")).select("qids", "qs", "floors", "cids", "cs")
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query with their rank; tasks drop what is not among their own k best before the shuffle."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = 50, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query.
 
-    Queries are the rows whose id is divisible by ``every``; candidates are all rows with
-    another id. Ties go to the smaller id; fewer than k candidates give fewer rows.
+    Queries are the rows whose id is divisible by ``every``; candidates are all rows but
+    the query's own. Ties go to the smaller id; fewer than k candidates give fewer rows.
     Vectors that are null or hold null or non-finite components, and rows with a null id,
     take no part; only vectors of equal length meet. Rows that repeat an id are candidates
-    of their own and one query. Scores beyond 64 bits are held at the ends of the range.
+    and queries of their own, each with its own ranks. Scores beyond 64 bits are held at
+    the ends of the range.
     """
     spark = vectors.sparkSession
-    rows = cut(integer_vectors(vectors, id_col, vector_col, scale).withColumn("size", F.size("v")), "integer-vectors")
-    sample = bounded_rows(rows.select("id", "v", "size"), "id", ROTATION_SAMPLE)
+    whole = integer_vectors(vectors, id_col, vector_col, scale).withColumns({"size": F.size("v"), "row": F.monotonically_increasing_id()})
+    rows = cut(whole, "integer-vectors")
+    basis = _rotations(rows)
+    n = rows.count()
+    parts = max(1, math.ceil(n / CANDIDATE_BLOCK))
+    # ranges are cut from a sample, so they are only roughly even: parts of at most a block's size inside each
+    ranged = rows.repartitionByRange(parts, F.desc("norm"), "row").withColumn("range", F.spark_partition_id())
+    ranged = cut(ranged.withColumn("part", (F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)) / CANDIDATE_BLOCK).cast("int")), "by-norm")
+    packed = ranged.groupBy("size", "range", "part").agg(F.collect_list(F.struct("row", "id", "v")).alias("m"), F.max("norm").alias("longest"))
+    packed = packed.select(F.struct("size", "range", "part").alias("block"), "size", "range", "longest", F.col("m.row").alias("rows"), F.col("m.id").alias("vec_ids"), F.col("m.v").alias("cs"))
+    blocks = cut(packed, "norm-blocks")
+    qparts = max(1, math.ceil(n / every / QUERY_BLOCK))
+    queries = ranged.where(F.pmod("id", F.lit(every)) == 0).select("row", "id", "size", "v", "norm", F.pmod(F.xxhash64("row"), F.lit(qparts)).alias("part"))
+    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("query", "query_id", "row", "vec_id", "score")])
+    best = spark.createDataFrame([], schema)
+    low, high = 0, 1
+    while low < parts:
+        wave = blocks.where((F.col("range") >= low) & (F.col("range") < high))
+        found = _wave(queries, wave, best, k).mapInPandas(_score_pair(k, basis), schema)
+        best = cut(_best(best.unionByName(found), k).select(*schema.names), "best")
+        low, high = high, high + WAVE_GROWTH * high
+    return _best(best, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _rotations(rows: DataFrame) -> dict[int, np.ndarray]:
+    """The right singular vectors of a bounded sample, for each vector length in it."""
     groups: dict[int, list] = {}
-    for r in sample:
+    for r in bounded_rows(rows.select("row", "v", "size"), "row", ROTATION_SAMPLE):
         groups.setdefault(r["size"], []).append(r.v)
     basis = {}
     for size, vs in groups.items():
         m = np.array(vs, dtype=np.float64)
         if size and np.abs(m).max() < 1e100:
-            basis[size] = np.linalg.svd(m, full_matrices=True)[2].T if len(m) < size else np.linalg.svd(m, full_matrices=False)[2].T
-    n = rows.count()
-    parts = max(1, math.ceil(n / CANDIDATE_BLOCK))
-    ranged = rows.repartitionByRange(parts, F.desc("norm"), "id").withColumn("block", F.spark_partition_id())
-    # ranges are cut from a sample, so blocks are only roughly even: number rows again inside each
-    ranged = cut(ranged.withColumn("part", (F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)) / CANDIDATE_BLOCK).cast("int")), "by-norm")
-    blocks = cut(_pack(ranged.withColumn("b", F.struct("block", "part")), "b"), "norm-blocks")
-    queries = ranged.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id"])
-    qparts = max(1, math.ceil(n / every / QUERY_BLOCK))
-    queries = queries.withColumn("qblock", F.pmod(F.xxhash64("id"), F.lit(qparts)))
-    packed = _pack(queries, "qblock")
-    nothing = packed.withColumn("floors", F.transform("m", lambda x: F.lit(float("-inf")))).withColumn("lowest", F.lit(float("-inf")))
-    nothing = cut(nothing, "queries")
-    head = blocks.where((F.col("b.block") == 0) & (F.col("b.part") == 0))
-    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("query_id", "vec_id", "score")])
-    first = cut(_top(_pairs(nothing, head).mapInPandas(_score_pair(k, basis), schema), k), "floors")
-    floor = F.when(F.size("b") >= k, -F.element_at("b", k)["s"].cast("double")).otherwise(float("-inf"))
-    floors = queries.select("id", "qblock", "size", "v", "norm").join(first.select(F.col("query_id").alias("id"), floor.alias("floor")), "id", "left")
-    floors = floors.withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    ready = floors.groupBy("size", "qblock").agg(F.collect_list(F.struct("id", "v", "floor")).alias("m"), F.max("norm").alias("longest"), F.min("floor").alias("lowest"))
-    ready = ready.withColumn("floors", F.col("m.floor"))
-    tail = blocks.where((F.col("b.block") != 0) | (F.col("b.part") != 0))
-    cores = spark.sparkContext.defaultParallelism
-    rest = _pairs(ready, tail).repartition(min(max(cores, parts * qparts), 4096)).mapInPandas(_score_pair(k, basis), schema)
-    again = first.select("query_id", F.explode("b").alias("x")).select("query_id", F.col("x.v").alias("vec_id"), (-F.col("x.s")).alias("score"))
-    best = _top(again.unionByName(rest), k)
-    return best.select("query_id", F.posexplode("b").alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.v").alias("vec_id"), (-F.col("x.s")).alias("score"))
+            basis[size] = np.linalg.svd(m, full_matrices=len(m) < size)[2].T
+    return basis
+
+
+def _wave(queries: DataFrame, wave: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """(query block, candidate block) rows that the lengths do not rule out, with the queries' floors."""
+    tops = best.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+    floors = tops.where(F.col("n") >= k).select(F.col("query").alias("row"), F.col("low").cast("double").alias("floor"))
+    ready = queries.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    ready = ready.groupBy("size", "part").agg(F.collect_list(F.struct("row", "id", "v", "floor")).alias("m"), F.max("norm").alias("longest"), F.min("floor").alias("lowest"))
+    ready = cut(ready.select(F.struct("size", "part").alias("qblock"), "size", "longest", "lowest", F.col("m.row").alias("queries"), F.col("m.id").alias("query_ids"), F.col("m.v").alias("qs"), F.col("m.floor").alias("floors")), "query-blocks")
+    names = ready.select("qblock", "size", F.col("longest").alias("qlong"), "lowest").join(wave.select("block", "size", "longest"), "size")
+    pairs = names.where(F.col("qlong") * F.col("longest") * (1 + 1e-12) + 1e-6 >= F.col("lowest")).select("qblock", "block")
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    pairs = cut(pairs, "block-pairs")
+    met = pairs.join(ready.select("qblock", "queries", "query_ids", "qs", "floors"), "qblock").join(wave.select("block", "rows", "vec_ids", "cs"), "block")
+    return met.repartition(4 * cores, "qblock", "block")  # a block that many others meet is many tasks
