@@ -38,13 +38,25 @@ _BATCH = 64
 @functools.cache
 def _not_letters() -> re.Pattern:
     """Runs of anything but letters (category L): ``\\w`` takes in signs such as a superscript two, so those are named besides."""
-    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(f"[\\W\\d_{re.escape(numerals)}]+")
+    return re.compile(f"[\\W\\d_{_numerals(0, 1 << 16)}]+")
+
+
+@functools.cache
+def _rare_numerals() -> re.Pattern:
+    """Those beyond the basic plane: apart, since a class that spans planes is read one sign after the other."""
+    return re.compile(f"[{_numerals(1 << 16, sys.maxunicode + 1)}]+")
+
+
+def _numerals(low: int, high: int) -> str:
+    return re.escape("".join(c for c in map(chr, range(low, high)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))
 
 
 def letters_only(text: str | None) -> str:
     """Lower case, every run of other characters than letters one blank."""
-    return _not_letters().sub(" ", (text or "").lower()).strip()
+    text = (text or "").lower()
+    if text and max(text) > "\uffff":
+        text = _rare_numerals().sub(" ", text)
+    return _not_letters().sub(" ", text).strip()
 
 
 def windows(raw: bytes, size: int = WINDOW) -> np.ndarray:

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import fold_of, spread, stratified_rows
 
 #: Bound of the labelled sample in rows, shared evenly by the labels; each is read whole.
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 3000
 MIN_SUPPORT = 4
 MIN_WEIGHT = 1.5
 #: A word beside insults is learned as a target (or as reported speech) from these log odds on (or down).
@@ -132,8 +132,9 @@ def induce_trie(texts: list[str], labels: list[int]) -> dict[str, float]:
     words of any length cost no more than their frequent beginnings.
     """
     docs: tuple[list, list] = ([], [])
+    one: dict[str, str] = {}  # each word is held once
     for text, y in zip(texts, labels):
-        docs[y].append(set(_WORDS_ONLY.findall(text.lower())))
+        docs[y].append({one.setdefault(w, w) for w in _WORDS_ONLY.findall(text.lower())})
     totals = [1 + len(d) for d in docs]
     open_docs, counts, size = [list(d) for d in docs], (Counter(), Counter()), 0
     while any(open_docs[1]):
