@@ -1,54 +1,81 @@
-"""Host for user-written transforms: one contained child interpreter a task, not a sandbox.
+"""Host for user-written transforms: contained, not a sandbox against hostile code.
 
-The child runs with ``-I -S``, an empty environment and a scratch directory, under limits
-on CPU time and memory. Answers go in as JSON lines and come back as JSON lines; a
-document that takes too long costs its child, and the next document gets a new one.
-Amounts travel as strings.
+One child interpreter a task (``-I -S``, an empty environment, a scratch folder) reads the
+code once and then forks for every document: the fork runs the code from its beginning
+under its own limits of CPU time and memory, answers through a pipe of its own and ends.
+So nothing that a document leaves behind reaches the next, and results do not depend on
+which documents share a task. What the code prints goes nowhere. Amounts travel as strings.
 """
 
 from __future__ import annotations
 
 import ast
+import datetime as dt
 import json
 import os
 import select
 import subprocess
 import sys
 import tempfile
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .definitions import Definition, changed_fields_expr, coerce_expr, rules_expr
+from .results import wire_expr
+
 MAX_SECONDS, DEFAULT_SECONDS, MEMORY = 30, 2.0, 512 * 1024 * 1024
 
 _CHILD = r"""
-import datetime, decimal, json, sys, traceback
-space = {"__name__": "transform", "Decimal": decimal.Decimal, "date": datetime.date}
-source, replies, sys.stdout = json.loads(sys.stdin.readline()), sys.stdout, sys.stderr
-broken = None
-try:
-    exec(compile(source, "transform", "exec"), space)
-except BaseException as e:
-    broken = f"{type(e).__name__}: {e}"
+import datetime, decimal, json, os, resource, sys, traceback
+setup = json.loads(sys.stdin.readline())
+replies = os.fdopen(os.dup(1), "w")
+nowhere = os.open(os.devnull, os.O_RDWR)
 def plain(x):
-    if isinstance(x, (decimal.Decimal, datetime.date)):
-        return str(x)
-    raise TypeError(f"{type(x).__name__} cannot be returned")
-for line in sys.stdin:
+    if isinstance(x, decimal.Decimal):
+        return format(x.normalize(), "f")
+    if isinstance(x, datetime.datetime):
+        return x.date().isoformat()
+    if isinstance(x, datetime.date):
+        return x.isoformat()
+    raise TypeError(f"transform returned a {type(x).__name__}, which is not JSON")
+def answer(data):
     try:
-        if broken:
-            raise RuntimeError(broken)
-        out = space["transform"](json.loads(line))
+        space = {"__name__": "transform"}
+        exec(compile(setup["source"], "<transform>", "exec"), space)
+        out = space["transform"](data)
         if not isinstance(out, dict):
             raise TypeError(f"transform must return a dict, got {type(out).__name__}")
-        reply = {"ok": json.loads(json.dumps(out, default=plain))}
+        return {"ok": json.loads(json.dumps(out, default=plain))}
     except BaseException as e:
-        rows = [f.lineno for f in traceback.extract_tb(e.__traceback__) if f.filename == "transform"]
-        reply = {"error": f"{type(e).__name__}: {e}" + (f" (line {rows[-1]})" if rows else "")}
-    replies.write(json.dumps(reply) + "\n")
-    replies.flush()
+        rows = [f.lineno for f in traceback.extract_tb(e.__traceback__) if f.filename == "<transform>"]
+        return {"error": f"{type(e).__name__}: {e}" + (f" (line {rows[-1]})" if rows else "")}
+for line in sys.stdin:
+    take, give = os.pipe()
+    pid = os.fork()
+    if not pid:
+        os.close(take)
+        for fd in (0, 1, 2):
+            os.dup2(nowhere, fd)
+        replies = None
+        seconds = int(setup["seconds"]) + 1
+        resource.setrlimit(resource.RLIMIT_CPU, (seconds, seconds))
+        resource.setrlimit(resource.RLIMIT_AS, (setup["memory"], setup["memory"]))
+        try:
+            raw = json.dumps(answer(json.loads(line))).encode()
+            while raw:
+                raw = raw[os.write(give, raw):]
+        finally:
+            os._exit(0)
+    os.close(give)
+    print(json.dumps({"pid": pid}), file=replies, flush=True)
+    with os.fdopen(take, "rb") as f:
+        raw = f.read()
+    os.waitpid(pid, 0)
+    print(json.dumps({"reply": raw.decode()}), file=replies, flush=True)
 """
 
 
@@ -63,55 +90,70 @@ def check_source(source: str) -> None:
 
 
 class TransformHost:
-    """Runs one transform for many answers."""
+    """Runs one transform for many answers, each in a process of its own."""
 
     def __init__(self, source: str, seconds: float = DEFAULT_SECONDS):
         check_source(source)
         self.source, self.seconds, self.child = source, min(seconds, MAX_SECONDS), None
 
-    def _limits(self) -> None:
-        import resource
-
-        resource.setrlimit(resource.RLIMIT_AS, (MEMORY, MEMORY))
-
     def _start(self) -> None:
         self.scratch = tempfile.TemporaryDirectory()
-        self.child = subprocess.Popen([sys.executable, "-I", "-S", "-c", _CHILD], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env={}, cwd=self.scratch.name, preexec_fn=self._limits)
-        self.child.stdin.write(json.dumps(self.source).encode() + b"\n")
-        self.child.stdin.flush()
+        self.child = subprocess.Popen([sys.executable, "-I", "-S", "-c", _CHILD], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env={}, cwd=self.scratch.name, start_new_session=True)
         self.held = b""
+        self._send({"source": self.source, "seconds": self.seconds, "memory": MEMORY})
+
+    def _send(self, message) -> None:
+        self.child.stdin.write(json.dumps(message).encode() + b"\n")
+        self.child.stdin.flush()
+
+    def _line(self, until: float) -> bytes | None:
+        while b"\n" not in self.held:
+            if not select.select([self.child.stdout], [], [], max(0.0, until - time.monotonic()))[0]:
+                return None
+            piece = os.read(self.child.stdout.fileno(), 1 << 16)
+            if not piece:
+                raise BrokenPipeError
+            self.held += piece
+        line, _, self.held = self.held.partition(b"\n")
+        return line
 
     def close(self) -> None:
         if self.child is not None:
-            self.child.kill()
+            try:
+                os.killpg(self.child.pid, 9)  # a fork that still runs as well
+            except OSError:
+                pass
             self.child.communicate()
             self.scratch.cleanup()
             self.child = None
 
     def run(self, data: dict) -> dict:
         """{"ok": dict} or {"error": text}."""
-        if self.child is None:
-            self._start()
         try:
-            self.child.stdin.write(json.dumps(data).encode() + b"\n")
-            self.child.stdin.flush()
-            while b"\n" not in self.held:
-                if not select.select([self.child.stdout], [], [], self.seconds)[0]:
-                    self.close()
-                    return {"error": f"took longer than {self.seconds:g} seconds"}
-                piece = os.read(self.child.stdout.fileno(), 1 << 16)
-                if not piece:
-                    raise BrokenPipeError
-                self.held += piece
-            line, _, self.held = self.held.partition(b"\n")
-            return json.loads(line)
-        except (BrokenPipeError, OSError):
+            if self.child is None:
+                self._start()
+            self._send(data)
+            if self._line(time.monotonic() + MAX_SECONDS) is None:  # the fork's number: its time starts now
+                raise BrokenPipeError
+            line = self._line(time.monotonic() + self.seconds)
+            if line is None:
+                self.close()
+                return {"error": f"timed out after {self.seconds:g}s"}
+            reply = json.loads(line)["reply"]
+            return json.loads(reply) if reply else {"error": "the transform's process ended"}
+        except (OSError, ValueError, KeyError):
             self.close()
             return {"error": "the transform's process ended"}
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows over all cores if a scan gives fewer tasks: a fork a document costs milliseconds, a shuffle of answers little."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(2 * cores)
+
+
 def transform_expr(source: str, data_json: Column, seconds: float = DEFAULT_SECONDS) -> Column:
-    """JSON answers to JSON replies; Arrow-batched, one child a task."""
+    """JSON answers to JSON replies; Arrow-batched, one child a task, one fork a document."""
     check_source(source)
 
     @F.pandas_udf("string")
@@ -126,6 +168,31 @@ def transform_expr(source: str, data_json: Column, seconds: float = DEFAULT_SECO
     return run(data_json)
 
 
+def process_frame(rows: DataFrame, d: Definition, answer_json: str, source: str, today: dt.date, seconds: float = DEFAULT_SECONDS) -> DataFrame:
+    """Adds ``processed``: struct(values, errors, transformed, derived) of an answer put through a user's transform.
+
+    What was read is coerced, goes through the code in its JSON form, and what comes back is
+    coerced and checked like an answer. A transform that fails costs no document: the values
+    stay what was read, and the reason joins the messages.
+    """
+    names = rows.columns
+    read = dealt(rows).withColumn("read_", coerce_expr(d, F.try_parse_json(answer_json)))
+    ran = read.withColumn("reply_", transform_expr(source, wire_expr(d, F.col("read_.values")), seconds))
+    error, output = F.get_json_object("reply_", "$.error"), F.get_json_object("reply_", "$.ok")
+    made = ran.withColumns({"error_": error, "output_": output}).withColumn("made_", coerce_expr(d, F.try_parse_json("output_")))
+    values = F.when(F.col("error_").isNull(), F.col("made_.values")).otherwise(F.col("read_.values"))
+    made = made.withColumn("values_", values)
+    shape, checked = F.col("read_.errors"), rules_expr(d, F.col("values_"), today)
+    returned = F.transform("made_.errors", lambda e: F.concat(F.lit("transform returned "), e))
+    failed = F.concat(shape, checked, F.array(F.concat(F.lit("transform failed: "), F.col("error_"))))
+    none = F.array().cast("array<string>")
+    processed = F.struct(
+        F.col("values_").alias("values"), F.when(F.col("error_").isNull(), F.concat(shape, returned, checked)).otherwise(failed).alias("errors"), F.col("output_").alias("transformed"),
+        F.when(F.col("error_").isNull(), changed_fields_expr(d, F.col("read_.values"), F.col("values_"))).otherwise(none).alias("derived"),
+    )
+    return made.select(*names, processed.alias("processed"))
+
+
 def check_examples(source: str, examples: list[tuple[dict, dict]], seconds: float = DEFAULT_SECONDS) -> list[str]:
     """Driver-side: what is wrong with each (input, expected) example."""
     host = TransformHost(source, seconds)

@@ -56,6 +56,73 @@ def add_version(document_types: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(numbered)
 
 
+def failed_attempts(extractions: DataFrame, failures: DataFrame) -> DataFrame:
+    """Rows to append for billed calls that gave nothing usable: counted for cost and attempts, never current.
+
+    ``failures(id, document_id, doc_type, reason, model_used, input_tokens, output_tokens,
+    cache_read_tokens, cost_usd, latency_ms, created_at)``; attempts go on from the
+    document's non-trial ones, in order of time.
+    """
+    highest = extractions.where("not is_trial").groupBy("document_id").agg(F.count("*").alias("before"))
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("created_at", "id"))
+    numbered = failures.withColumn("place", place).join(highest, "document_id", "left")
+    return numbered.select(
+        "id", "document_id", "doc_type", (F.coalesce("before", F.lit(0)) + F.col("place")).alias("attempt"), "model_used", F.lit(None).cast("string").alias("raw_json"),
+        F.array(F.concat(F.lit("failed: "), F.col("reason"))).alias("validation_errors"), F.lit(False).alias("is_current"), F.lit(False).alias("is_trial"),
+        "input_tokens", "output_tokens", "cache_read_tokens", "cost_usd", "latency_ms", "created_at",
+    )
+
+
+def drafts(document_types: DataFrame, requests: DataFrame) -> DataFrame:
+    """What becomes of ``requests(name, based_on)`` for a new draft: its version, or why there is none.
+
+    A new processor names no base; a draft of a known one starts from a published version.
+    """
+    known = document_types.groupBy("name").agg(F.max("version").alias("newest"), F.max(F.when(F.col("is_published"), F.col("version"))).alias("latest"))
+    base = document_types.select("name", F.col("version").alias("based_on"), F.col("is_published").alias("base_published"))
+    both = requests.join(known, "name", "left").join(base, ["name", "based_on"], "left")
+    start = F.col("based_on").isNull()
+    refusal = (
+        F.when(start & F.col("latest").isNotNull(), F.concat(F.col("name"), F.lit(" already exists; start the draft from v"), F.col("latest").cast("string")))
+        .when(~start & F.col("base_published").isNull(), F.concat(F.col("name"), F.lit(" has no v"), F.col("based_on").cast("string")))
+        .when(~start & ~F.col("base_published"), F.concat(F.lit("v"), F.col("based_on").cast("string"), F.lit(" is a draft; start from a published version instead")))
+    )
+    return both.select("name", "based_on", refusal.alias("refusal"), F.when(refusal.isNull(), F.coalesce("newest", F.lit(0)) + 1).cast("long").alias("version"))
+
+
+def publish(document_types: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(types after, decisions) of ``requests(name, version, based_on, failures)``, at most one a name.
+
+    A draft is published if nobody published since it was started and its transform passes
+    its examples (``failures`` is empty); the version active before is demoted with it.
+    """
+    latest = latest_published(document_types)
+    here = document_types.select("name", "version", F.col("is_published").alias("already"))
+    both = requests.join(here, ["name", "version"], "left").join(latest, "name", "left")
+    title = F.concat(F.col("name"), F.lit(" v"), F.col("version").cast("string"))
+    started = F.coalesce(F.concat(F.lit("v"), F.col("based_on").cast("string")), F.lit("nothing"))
+    newest = F.col("latest_published").cast("string")
+    conflict = F.concat(F.col("name"), F.lit(" v"), newest, F.lit(" was published after this draft was started from "), started, F.lit("; merge its changes into a new draft from v"), newest)
+    refusal = (
+        F.when(F.col("already").isNull(), F.concat(title, F.lit(" does not exist")))
+        .when(F.col("already"), F.concat(title, F.lit(" is already published")))
+        .when(~F.col("latest_published").eqNullSafe(F.col("based_on")), conflict)
+        .when(F.size("failures") > 0, F.lit("the transform fails its examples"))
+    )
+    decisions = both.select("name", "version", refusal.alias("refusal"))
+    wins = decisions.where("refusal is null").select("name", F.col("version").alias("wins_"))
+    after = document_types.join(wins, "name", "left")
+    now = F.col("version") == F.col("wins_")
+    after = after.withColumns({"is_published": F.coalesce(now, F.lit(False)) | F.col("is_published"), "is_active": F.coalesce(now, F.col("is_active"))})
+    return after.select(*document_types.columns), decisions
+
+
+def retire(document_types: DataFrame, names: DataFrame) -> DataFrame:
+    """Types after no document is routed to ``names(name)`` any more; versions and what they made stay."""
+    gone = names.distinct().withColumn("gone_", F.lit(True))
+    return document_types.join(gone, "name", "left").withColumn("is_active", F.col("is_active") & F.col("gone_").isNull()).select(*document_types.columns)
+
+
 def history(document_types: DataFrame, name: str) -> DataFrame:
     return document_types.where(F.col("name") == name).orderBy(F.desc("version"))
 

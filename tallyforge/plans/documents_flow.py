@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import definitions as D
 from ..operators import layout, locate, scope, transform
-from ..operators.corrections import apply_corrections
 from .relational import q
 
 TODAY = dt.date(2000, 6, 1)
@@ -132,17 +131,11 @@ def _located(t: DataFrame) -> DataFrame:
 
 q("C19_locate", "orders", "SELECT o_orderkey, 0.196 AS total_x0, 0.698 AS total_y0, 0.036 AS issued_y0, true AS vendor_missing FROM orders")(
     lambda t: _located(t).select("o_orderkey", F.round(F.get_json_object("places", "$.total.box[0]").cast("double"), 9).alias("total_x0"), F.round(F.get_json_object("places", "$.total.box[1]").cast("double"), 9).alias("total_y0"), F.round(F.get_json_object("places", "$.issued.box[1]").cast("double"), 9).alias("issued_y0"), F.get_json_object("places", "$.vendor").isNull().alias("vendor_missing")))
-q("X1_transform_host", "orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'ZeroDivisionError: division by zero (line 2)' END AS error, CASE WHEN o_orderkey % 50 <> 0 THEN CAST(o_orderkey * 2 AS STRING) END AS doubled FROM orders")(
-    lambda t: t.select("o_orderkey", transform.transform_expr("def transform(data):\n    1 / (int(data['k']) % 50)\n    return {'doubled': str(Decimal(data['k']) * 2)}\n", F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("k")))).alias("r")).select("o_orderkey", F.get_json_object("r", "$.error").alias("error"), F.get_json_object("r", "$.ok.doubled").alias("doubled")))
+q("X1_transform_host", "orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'ZeroDivisionError: division by zero (line 3)' END AS error, CASE WHEN o_orderkey % 50 <> 0 THEN CAST(o_orderkey * 2 AS STRING) END AS doubled FROM orders")(
+    lambda t: transform.dealt(t.select("o_orderkey")).select("o_orderkey", transform.transform_expr("from decimal import Decimal\ndef transform(data):\n    1 / (int(data['k']) % 50)\n    return {'doubled': str(Decimal(data['k']) * 2)}\n", F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("k")))).alias("r")).select("o_orderkey", F.get_json_object("r", "$.error").alias("error"), F.get_json_object("r", "$.ok.doubled").alias("doubled")))
 
 # ---- tenancy and corrections
 q("P10_scoped_join", "documents_list ledger", "SELECT d.id, l.amount FROM documents_list d LEFT JOIN ledger l ON l.document_id = d.id AND l.organisation_id = '1' WHERE d.organisation_id = '1'")(lambda d, l: (lambda s: s.table("documents").select("id").join(s.table("transactions").select(F.col("document_id").alias("id"), "amount"), "id", "left"))(scope.ScopedTables({"documents": d, "transactions": l}, scope.Scope("1"))))
 q("P11_scoped_sql", "ledger", "SELECT currency, count(*) AS n FROM ledger WHERE organisation_id = '2' GROUP BY 1")(lambda l: scope.ScopedTables({"transactions": l}, scope.Scope("2")).sql(l.sparkSession, "SELECT currency, count(*) AS n FROM {transactions} GROUP BY currency"))
 q("P12_everyone", "ledger", "SELECT organisation_id, count(*) AS n FROM ledger GROUP BY 1")(lambda l: scope.ScopedTables({"transactions": l}, scope.Scope(None, everyone=True)).table("transactions").groupBy("organisation_id").agg(F.count("*").alias("n")))
 q("C36_tenant_wipe", "ledger", "SELECT transaction_id FROM ledger WHERE organisation_id <> '3'")(lambda l: scope.without_organisation(l, "3").select("transaction_id"))
-SMALL = D.Definition("small", {"vendor": D.Field("string"), "total": D.Field("money")}, rules=(D.Rule("required", "vendor"), D.Rule("positive", "total")))
-q("C17_correct", "orders", "SELECT o_orderkey AS document_id, CAST(o_orderkey % 3 + 1 AS BIGINT) AS revision, CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE '9.50' END AS total, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS errors, o_orderkey % 5 = 0 AS withdraw FROM orders WHERE o_orderkey % 4 <> 0")(
-    lambda t: apply_corrections(
-        t.select(F.col("o_orderkey").alias("document_id"), (F.col("o_orderkey") % 3).alias("revision"), F.create_map(F.lit("vendor"), F.lit("shop"), F.lit("total"), F.lit("-1")).alias("answer")),
-        t.select(F.col("o_orderkey").alias("document_id"), (F.col("o_orderkey") % 3 + F.when(F.col("o_orderkey") % 4 == 0, 7).otherwise(0)).alias("revision"), F.create_map(F.lit("total"), F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise("9.50")).alias("changes")),
-        SMALL, TODAY).select("document_id", "revision", F.element_at("answer", "total").alias("total"), F.size("errors").alias("errors"), "withdraw"))

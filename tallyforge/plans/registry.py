@@ -26,4 +26,4 @@ def register(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import documents_flow, relational  # noqa: F401
+    from . import client_views, documents_flow, relational  # noqa: F401

@@ -19,15 +19,23 @@ def connect(sf_dir: str):
     return c
 
 
+def answer(connection, sql: str) -> pd.DataFrame:
+    """A statement's rows as Python values, so that decimals stay exact."""
+    found = connection.execute(sql)
+    return pd.DataFrame(found.fetchall(), columns=[c[0] for c in found.description], dtype=object)
+
+
 def plain(x):
     if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return None
-    if isinstance(x, (float, decimal.Decimal)):
-        return round(float(x), 6)
     if isinstance(x, bool) or type(x).__name__ == "bool_":
         return bool(x)
-    if isinstance(x, int) or hasattr(x, "item") and isinstance(x.item(), int):
-        return round(float(x), 6)
+    if hasattr(x, "item"):
+        x = x.item()
+    if isinstance(x, (int, decimal.Decimal)):  # exactly; 5 and 5.00 are the same number
+        return str(decimal.Decimal(x).normalize() + 0)
+    if isinstance(x, float):  # a column with gaps comes as floats from either side
+        return str(decimal.Decimal(int(x))) if x == int(x) and abs(x) < 2**53 else round(x, 6)
     if isinstance(x, dt.date) and not isinstance(x, dt.datetime):
         return str(pd.Timestamp(x))
     if isinstance(x, dt.datetime):

@@ -15,10 +15,10 @@ SF = "/root/testdata/sf0.001"
 registry.load()
 
 
-@pytest.mark.parametrize("name", ["A1_total_spend", "A4_spend_by_month", "A8_cost_report", "A10_latency_percentiles", "A11_cost_slices", "O2_keyset_document_date", "A6_summary_by_outcome", "W1_step_durations", "W3_current_extraction", "J5_candidates", "J8_grant_changes", "S6_ingest_against_table", "T3_retry_with_backoff", "A17_field_tally", "J13_accuracy_deltas", "C1_coerce", "C3d_sum_equals", "P10_scoped_join"])
+@pytest.mark.parametrize("name", ["A1_total_spend", "A4_spend_by_month", "A8_cost_report", "A10_latency_percentiles", "A11_cost_slices", "O2_keyset_document_date", "A6_summary_by_outcome", "W1_step_durations", "W3_current_extraction", "J5_candidates", "J8_grant_changes", "S6_ingest_against_table", "T3_retry_with_backoff", "A17_field_tally", "J13_accuracy_deltas", "C1_coerce", "C3d_sum_equals", "P10_scoped_join", "P8_outcome_map", "C28_price_calls", "T11_gate_at_cap", "P20_problem_assignment", "C17_correct", "C17_refusals", "C25_publish", "T10_failed_attempts"])
 def test_query_equals_oracle(spark, name):
     got = registry.QUERIES[name](spark, SF).toPandas()
-    assert compare.differences(got, compare.connect(SF).execute(registry.ORACLE_SQL[name]).df()) == ""
+    assert compare.differences(got, compare.answer(compare.connect(SF), registry.ORACLE_SQL[name])) == ""
 
 
 def test_every_query_has_an_oracle():
@@ -65,21 +65,44 @@ def test_locate_reads_numbers_and_dates():
     assert locate.number_readings("1.234,56") == locate.number_readings("1,234.56") == {Decimal("1234.56")}
     assert locate.number_readings("1,234") == {Decimal(1234), Decimal("1.234")}
     assert locate.date_readings("24 Oct 2026")[0][2] == {dt.date(2026, 10, 24)}
+    assert [d for *_, d in locate.date_readings("12 May 2026 13 de jun de 25 Oct 24, 2026")] == [{dt.date(2026, 5, 12)}, {dt.date(2025, 6, 13)}, {dt.date(2026, 10, 24)}]
+    assert [x for *_, x in locate.printed_numbers(locate.tokens_of("EUR -12.50 on 1.234,56, a-5"))] == ["-12.50", "1.234,56", "5"]
     assert locate.date_readings("03/04/26")[0][2] == {dt.date(2026, 4, 3), dt.date(2026, 3, 4)}
 
 
 def test_transform_host_contains_its_child():
-    good = "def transform(data):\n    return {'x': Decimal(data['x']) + 1}\n"
+    good = "import sys\nfrom decimal import Decimal\nseen = []\ndef transform(data):\n    seen.append(1)\n    print('x')\n    sys.__stdout__.write('junk')\n    return {'x': Decimal(data['x']) + len(seen)}\n"
     host = transform.TransformHost(good)
-    assert host.run({"x": "1.10"}) == {"ok": {"x": "2.10"}}
+    assert host.run({"x": "1.10"}) == {"ok": {"x": "2.1"}} == host.run({"x": "1.10"})  # nothing stays from one document to the next
     host.close()
+    gone = transform.TransformHost("import os\ndef transform(data):\n    os._exit(3)\n")
+    assert "ended" in gone.run({})["error"]
+    gone.close()
     slow = transform.TransformHost("def transform(data):\n    while True: pass\n", seconds=0.5)
-    assert "longer" in slow.run({})["error"]
+    assert "timed out" in slow.run({})["error"]
     slow.close()
     with pytest.raises(ValueError):
         transform.check_source("def transform(a, b): return {}")
 
 
+def test_locate_picks_the_labelled_line():
+    word = lambda t, x, y: {"text": t, "bbox": [x, y, x + 10 * len(t), y + 20], "page": 1}
+    blocks = [word("12.50", 300, 100), word("TOTAL", 0, 203), word("12.50", 300, 200), word("12.50", 300, 300), word("Shop 5", 0, 20), word("Pen", 0, 400), word("3.25", 300, 402)]
+    fields = {"total": D.Field("money"), "vendor": D.Field("string"), "items": D.Field("list", items={"name": D.Field("string"), "amount": D.Field("money")})}
+    data = {"total": "12.5", "vendor": "shop  5", "items": [{"name": "pen", "amount": "3.25"}, {"name": "none", "amount": "9"}]}
+    found = locate.locate(fields, data, blocks, [{"page": 1, "width": 1000, "height": 1000}])
+    assert [round(x, 3) for x in found["total"]["box"]] == [0.296, 0.196, 0.354, 0.224]
+    assert [round(x, 3) for x in found["items.0"]["box"]] == [0.0, 0.396, 0.344, 0.426] and "items.1" not in found and found["vendor"]["page"] == 1
+    assert locate.locate(fields, data, blocks, []) == locate.locate(fields, data, None, None) == {}
+
+
+def test_every_status_has_an_outcome():
+    from tallyforge.operators import listing
+    from tallyforge.sources import views
+
+    assert set(listing.OUTCOMES) == set(views.STATUSES) and set(listing.OUTCOMES.values()) == set(listing.OUTCOME_ORDER)
+
+
 def test_scope_fails_closed(spark):
     rows = spark.createDataFrame([("1", 1), ("2", 2)], "organisation_id string, x int")
     with pytest.raises(scope.ScopeError):
@@ -108,10 +131,19 @@ def test_geometry_reads_whole_documents(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = lambda name: {r.doc_id: r for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
     words = {k: t.split() for k, t in enumerate(texts)}
-    assert {k: (r.lines, r.words) for k, r in got("C6_layout_rows").items()} == {k: (-(-len(w) // 10), " ".join(w)) for k, w in words.items()}
+    def grid(ws):
+        out = []
+        for at in range(0, len(ws), 10):
+            line = ""
+            for i, w in enumerate(ws[at : at + 10]):
+                line = (line.ljust(max(round(100 * i / 9), len(line) + 2)) if i else "") + w
+            out.append(line)
+        return "\n".join(out)
+
+    assert {k: r.rows for k, r in got("C6_layout_rows").items()} == {k: grid(w) for k, w in words.items()}
     assert {k: r.block_count for k, r in got("C35_ocr_view").items()} == {k: len(w) for k, w in words.items()}
     assert {k: r.blocks for k, r in got("S15_blocks_json").items()} == {k: len(w) for k, w in words.items()}
-    assert {k: r.has_text for k, r in got("C5_extraction_text").items()} == {k: len(w) > 0 for k, w in words.items()}
+    assert {k: r.extracted for k, r in got("C5_extraction_text").items()} == {k: grid(w) or texts[k] for k, w in words.items()}
     assert {k: r.confidence for k, r in got("A22_mean_confidence").items()} == {k: 0.9 if w else None for k, w in words.items()}
     medians = {r.document_id: (r.line_height, r.char_width) for r in registry.QUERIES["A23_layout_medians"](spark, str(tmp_path)).collect()}
     assert medians == {k: (20.0, 9.0) for k, w in words.items() if w}
