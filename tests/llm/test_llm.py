@@ -103,6 +103,40 @@ def test_line_dedup(spark):
     assert got == want
 
 
+def test_line_families(spark):
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    near = [base[:k] + "z" + base[k + 1 :] for k in range(60)]  # all within two edits of each other
+    shared = [base[:20] + "".join(rng.choice("stuvwxyz") for _ in range(40)) for _ in range(80)]  # share a segment, nothing else
+    slots = [f"order number {rng.randint(0, 10**6):06d} of the customer with the long name" for _ in range(60)]
+    lines = near + shared + slots
+    rng.shuffle(lines)
+    got = linededup.dedup_lines(spark.createDataFrame([(k, t, "en", 0) for k, t in enumerate(lines)], DOCS)).collect()
+    want = {k: any(x == t or lev(x, t) <= 2 for x in lines[:k]) for k, t in enumerate(lines)}
+    assert {r.doc_id: r.n_kept == 0 for r in got} == want
+
+
+def test_clashing_columns_and_odd_rows(spark):
+    """Null and repeated ids, repeated rows, empty tables, a very long text and columns named like the operators' own."""
+    long = " ".join(f"w{k % 977}" for k in range(60_000))
+    rows = [(None, "the one line of a text that is long enough\nx", 1, "a"), (None, None, 2, "b"), (3, "", 3, "c"), (3, "", 3, "c"), (4, long, 4, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long, stay string").withColumns({c: F.lit(1) for c in ("doc", "no", "h1", "line", "n_lines", "parts", "key", "c0", "id", "score")})
+    out = linededup.dedup_lines(docs)
+    assert out.count() == 5 and set(out.columns) == {*docs.columns, "n_kept"}
+    assert simhash.simhash_components(docs).count() == 5 and simhash.keep_one_per_component(docs).columns == docs.columns
+    net = langid.fit(["the thing and the other"] * 3 + ["der und die nicht"] * 3, ["en"] * 3 + ["de"] * 3)
+    keep = [c for c in docs.columns if c not in ("doc_id", "score")]
+    assert langid.identify_language(docs, net, keep=keep).count() == 5
+    model = toxicity.fit(["idiot text"] * 8 + ["plain text"] * 8, [1] * 8 + [0] * 8)
+    assert toxicity.score_toxicity(docs, model, keep=keep).count() == 5
+    vectors = spark.createDataFrame([(0, [1.0, 2.0]), (0, [2.0, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    found = sorted(map(tuple, topk.exact_top_k(vectors).collect()))
+    assert [(q, r) for q, r, *_ in found] == [(0, 1), (0, 1), (0, 2), (0, 2)] and {v for _, _, v, _ in found} == {0, 7}
+    assert metric_join.near_vectors(vectors).count() == 4 and metric_join.near_vectors(vectors.limit(0)).count() == 0
+    for empty in (linededup.dedup_lines(docs.limit(0)), topk.exact_top_k(vectors.limit(0)), langid.identify_language(docs.limit(0), net), toxicity.score_toxicity(docs.limit(0), model)):
+        assert empty.count() == 0
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 8)).round(2)
@@ -182,8 +216,11 @@ def test_warc(spark):
     assert got == {1: ("revisit", 2, n, sha(big)), 2: ("response", None, n, sha(big)), 3: ("response", None, 5, sha("small")), 4: ("response", None, 5, sha("small")), 5: ("response", None, 0, sha(""))}
     raw = warc.record_bytes(1, "u", b"body")
     assert [b for _, b in warc.read_records(io.BytesIO(raw * 2))] == [b"body"] * 2
-    with pytest.raises(warc.WarcError):
-        list(warc.read_records(io.BytesIO(raw[:-9])))
+    import gzip
+
+    for broken in (raw[:-9], gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nx\r\n\r\n"), gzip.compress(b"no record\r\n\r\n")):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_records(io.BytesIO(broken)))
 
 
 def test_html():
@@ -195,6 +232,54 @@ def test_html():
     assert html_extract.page_blocks("") == [] and html_extract.host_texts([[]]) == [""]
 
 
+def test_html_groups_do_not_depend_on_partitions(spark):
+    menu = " ".join(f"item{k}" for k in range(20))
+    rows = [(k, f"http://h{k % 2}/p{k}", f"<body><div>{menu}</div><div>p{k} text of its own</div><a title=\"open>x</body>") for k in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = [{r.page_id: r.text for r in html_extract.extract_main_text(pages.repartition(n), group_bytes=900).collect()} for n in (1, 7)]
+    assert texts[0] == texts[1] and all(t.startswith("p") or menu in t for t in texts[0].values())
+    whole = {r.page_id: r.text for r in html_extract.extract_main_text(pages).collect()}
+    assert all(t.startswith(f"p{k} text of its own") for k, t in whole.items())
+
+
+def test_network_is_the_same_in_training_and_use():
+    net = langid.ByteCnn(["a", "b"])
+    x = np.random.default_rng(0).integers(0, 256, (40, langid.WINDOW)).astype(np.uint8)
+    assert np.abs(net._forward(x)[2] - net.probabilities(x)).max() < 1e-5
+    assert net.predict("\u00b2 \u00bd \u2460") == ("und", 0.0)
+
+
+def test_composed_transducers():
+    run = lambda s: "".join(x for x in toxicity.CLAUSES.run(list(s + ".")) if x not in "O.")
+    assert run("OIO") == "p" and run("IOT") == "i" and run("TOI") == "i" and run("NOI") == "n" and run("NOOOI") == "p" and run("RTI") == "r"
+    assert run("HOT") == "h" and run("NHT") == "" and run("R.I") == "r" and run("RO.I") == "p" and run("HO") == ""
+
+
+def test_packing_is_best_fit_and_ids_are_exact(spark):
+    import zlib
+
+    from tallyforge.llm.queries import pack
+
+    slow = packing.byte_bpe_encoder(tokenizers_home.path("byte_bpe_50k.json"))
+    texts = ["some words here " * k for k in (3, 200, 90, 17, 120, 55)] + ["x" * 3000, "a<|endoftext|>b"]
+    docs = spark.createDataFrame([(k, t, "en", 0) for k, t in enumerate(texts)], DOCS).coalesce(1)
+    for r in pack(docs).collect():
+        ids = np.array([*slow([texts[r.doc_id]])[0], 2], "<u4")[r.start : r.start + r.length]
+        assert zlib.crc32(ids.tobytes()) == r.ids_crc32 and len(ids) == r.length
+    bins, free = packing.OpenBins(100, 3), []
+    rng = random.Random(3)
+    for _ in range(400):
+        size = rng.randint(1, 60)
+        best = min((f for f in free if f >= size), default=100)
+        assert bins.place(size)[1] == 100 - best
+        if best in free and best < 100:
+            free.remove(best)
+        if best > size:
+            free.append(best - size)
+            if len(free) > 3:
+                free.remove(min(free))
+
+
 def test_html_class_words():
     read = lambda page: html_extract.host_texts([html_extract.page_blocks(page)])[0]
     body = '<h2 id="related-work">Related work</h2><h2 id="search">Search</h2><div class="article-header"><h1>Title</h1></div><p>one <a class="share">two</a> <span class="legal">three</span> four</p>'
