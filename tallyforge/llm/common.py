@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 DEFAULT_SHARED_DIR = "/tmp/checkpoints"
 
+#: Up to so many counted strata their bounds are broadcast (two columns a row); beyond, the join is left to Spark.
+BROADCAST_STRATA = 10_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``. Only a session on one machine may leave it unset."""
@@ -62,6 +65,8 @@ def stratified_rows(df: DataFrame, key: str, stratum: str, rows: int) -> list:
     each = max(1, rows // strata)
     share = F.least(F.lit(1.0), F.lit(3.0 * each) / F.col("n"))
     bounds = counts.select(F.col(stratum).alias("stratum_"), (F.lit(-(2.0**63)) + F.lit(2.0**64) * share).alias("bound_"))
+    if strata <= BROADCAST_STRATA:  # else the join would move every row to its stratum's task before the bound is applied
+        bounds = F.broadcast(bounds)
     low = df.join(bounds, F.col(stratum) == F.col("stratum_")).where(order.cast("double") <= F.col("bound_")).withColumn("order_", order)
     place = F.row_number().over(Window.partitionBy(stratum).orderBy("order_", key, *[c for c in df.columns if c not in (key, stratum)]))
     found = low.withColumn("place_", place).where(F.col("place_") <= each).orderBy(stratum, "place_").select(*df.columns).collect()  # bounded as said above
