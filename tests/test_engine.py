@@ -147,3 +147,21 @@ def test_geometry_reads_whole_documents(spark, tmp_path):
     assert {k: r.confidence for k, r in got("A22_mean_confidence").items()} == {k: 0.9 if w else None for k, w in words.items()}
     medians = {r.document_id: (r.line_height, r.char_width) for r in registry.QUERIES["A23_layout_medians"](spark, str(tmp_path)).collect()}
     assert medians == {k: (20.0, 9.0) for k, w in words.items() if w}
+
+
+def test_each_answer_value_is_looked_at_once(spark):
+    """A kind that is spelled out again in every branch makes coercion hundreds of times slower."""
+    d = D.Definition("d", {"a": D.Field("string"), "b": D.Field("money"), "c": D.Field("date"), "e": D.Field("integer"), "f": D.Field("list", items={"g": D.Field("money")})})
+    rows = spark.createDataFrame([("{}",)], "answer string").select(D.coerce_expr(d, F.try_parse_json("answer")).alias("c"))
+    plan = rows._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("schema_of_variant(") == 8  # the answer, five fields, an entry and its item
+
+
+def test_coercing_some_fields_gives_the_same_values(spark):
+    from tallyforge.plans.documents_flow import RECEIPT, coerced
+
+    answers = ['{"vendor":3,"total":"1,5","items":[{"amount":2},7],"quantity":4}', '{"quantity":5.0,"items":[]}', "[1]", "{", None]
+    rows = spark.createDataFrame(list(enumerate(answers)), "document_id long, answer string")
+    whole = {r.document_id: r.c["values"] for r in coerced(rows).collect()}
+    for name in RECEIPT.fields:
+        assert {r.document_id: r.c["values"][name] for r in coerced(rows, name).collect()} == {k: v[name] for k, v in whole.items()}
