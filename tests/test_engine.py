@@ -165,3 +165,19 @@ def test_coercing_some_fields_gives_the_same_values(spark):
     whole = {r.document_id: r.c["values"] for r in coerced(rows).collect()}
     for name in RECEIPT.fields:
         assert {r.document_id: r.c["values"][name] for r in coerced(rows, name).collect()} == {k: v[name] for k, v in whole.items()}
+
+
+def test_transforms_that_leave_nothing_share_a_process():
+    code = "from decimal import Decimal\nseen = []\ndef transform(data):\n    seen.append(1)\n    if data['x'] == 'slow':\n        while True: pass\n    print('x')\n    return {'x': str(1 / Decimal(data['x'])), 'n': len(seen)}\n"
+    host = transform.TransformHost(code, seconds=0.5)
+    given = ['{"x": "4"}', '{"x": "slow"}', '{"x": "0"}'] + ['{"x": "2"}'] * 600
+    shared = host.run_all(given)
+    pid = host.child.pid
+    assert host.run_all(given[2:]) == shared[2:] and host.child.pid == pid
+    host.close()
+    forked = transform.TransformHost(code, seconds=0.5)
+    forked.shared = False
+    assert host.shared and forked.run_all(given[:20]) == shared[:20] and len(shared) == len(given)
+    forked.close()
+    for line in ("import sys", "from decimal import getcontext", "getattr(data, 'x')", "(x for x in []).gi_frame", "transform.seen = 1", "global g", "data.__class__", "open('x')", "class A: pass"):
+        assert not transform.leaves_nothing(f"def transform(data):\n    {line}\n    return {{}}\n"), line
