@@ -242,6 +242,17 @@ def test_html_groups_do_not_depend_on_partitions(spark):
     assert all(t.startswith(f"p{k} text of its own") for k, t in whole.items())
 
 
+def test_html_texts_do_not_depend_on_group_sizes(spark):
+    menu = " ".join(f"item{k}" for k in range(20))
+    rows = [(k, f"http://h{k % 3 % 2}/p{k}", f"<body><div>{menu}</div><div>p{k // 2} text of its own</div></body>" if k % 5 else f"<article><p>{menu} read {k}</p></article>") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = [{r.page_id: (r.text, r.n_chars) for r in html_extract.extract_main_text(pages, group_bytes=n).collect()} for n in (60, 900, 6_000_000)]
+    assert texts[0] == texts[1] == texts[2]
+    for host in (0, 1):  # as one array over the whole host has it
+        of = [k for k in range(40) if k % 3 % 2 == host]
+        assert [texts[0][k][0] for k in of] == html_extract.host_texts([html_extract.page_blocks(rows[k][2]) for k in of])
+
+
 def test_network_is_the_same_in_training_and_use():
     net = langid.ByteCnn(["a", "b"])
     x = np.random.default_rng(0).integers(0, 256, (40, langid.WINDOW)).astype(np.uint8)
