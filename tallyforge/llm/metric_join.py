@@ -36,6 +36,8 @@ PIVOT_SAMPLE = 2048
 MAX_PIVOTS = 64
 VECTORS_PER_PIVOT = 6000
 BLOCK = 2048
+#: A task's block pairs may all lie in one Arrow batch; at 64 dimensions a pair has about 2 MB.
+PAIRS_PER_TASK = 16
 _SLACK = 1e-5
 
 
@@ -144,7 +146,7 @@ def _cell_links(placed: DataFrame, tasks: int, radius: float, cosine: float) ->
     names = cut(homes.join(others, "cell").select("block", "other"), "block-pairs")
     met = names.join(blocks.select("block", F.col("m.fold").alias("folds"), F.col("m.v").alias("vs")), "block")
     met = met.join(blocks.select(F.col("block").alias("other"), F.col("m.fold").alias("other_folds"), F.col("m.copies").alias("other_copies"), F.col("m.v").alias("other_vs")), "other")
-    pairs = met.repartition(tasks, "block", "other")
+    pairs = met.repartition(max(tasks, math.ceil(names.count() / PAIRS_PER_TASK)), "block", "other")
     return pairs.mapInPandas(_join_blocks(radius, cosine), "a long, b long, links long")
 
 

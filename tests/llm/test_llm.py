@@ -173,6 +173,13 @@ def test_vector_lengths_outside_the_sample(spark, monkeypatch):
     assert got == {k: (sum(a == k for a, _ in near), low[k], low[k] == k) for k in range(len(v))}
 
 
+def test_block_pairs_of_a_crowded_cell_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "BLOCK", 4)
+    rows = [(0, True, k, 1, [1.0, k / 100]) for k in range(40)]
+    placed = spark.createDataFrame(rows, "cell int, home boolean, fold long, copies long, v array<double>")
+    assert metric_join._cell_links(placed, 1, 0.4, 0.9).rdd.getNumPartitions() >= 4
+
+
 def test_bpe_round_trip(spark):
     path = tokenizers_home.path("byte_bpe_50k.tiktoken")
     ranks = bpe.load_ranks(path)
