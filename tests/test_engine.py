@@ -181,3 +181,22 @@ def test_transforms_that_leave_nothing_share_a_process():
     forked.close()
     for line in ("import sys", "from decimal import getcontext", "getattr(data, 'x')", "(x for x in []).gi_frame", "transform.seen = 1", "global g", "data.__class__", "open('x')", "class A: pass"):
         assert not transform.leaves_nothing(f"def transform(data):\n    {line}\n    return {{}}\n"), line
+
+
+def test_values_without_messages_are_the_same(spark):
+    fields = {"a": D.Field("string"), "b": D.Field("money"), "b_kind": D.Field("date"), "c": D.Field("integer"), "e": D.Field("number"), "f": D.Field("boolean"), "answer": D.Field("list", items={"g": D.Field("money"), "h": D.Field("list", items={"i": D.Field("date")})})}
+    d = D.Definition("d", fields)
+    odd = ["null", "true", '"true"', "5", "5.0", "-0", '"1,5"', '" 7.25 "', '"1.234"', "12345678901234567890", "1e400", '"2026-02-30"', '"2024-02-29"', '""', "[]", "{}", "[1]", '[null,{"g":2},{"g":"x","h":[{"i":"2024-01-01"},3]},"g",{"h":{}}]', '{"g":1}']
+    answers = [None, "", "{", "[1]", "7", "null", '"a"', "[[]]", '{"B":1}'] + ['{"%s":%s}' % (n, x) for n in fields for x in odd]
+    rows = spark.createDataFrame(list(enumerate(answers)), "k int, answer string")
+    whole = {r.k: r.c["values"] for r in rows.select("k", D.coerce_expr(d, F.try_parse_json("answer")).alias("c")).collect()}
+    assert {r.k: r["values"] for r in D.coerce_frame(rows, d, F.try_parse_json("answer")).collect()} == whole
+
+
+@pytest.mark.parametrize(("name", "in_lambdas"), [("C13_ledger_reasons", 0)])
+def test_single_values_are_not_coerced_in_lambdas(spark, name, in_lambdas):
+    """Lambdas are interpreted; only a list's entries need them."""
+    frame = registry.QUERIES[name](spark, SF)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schemaOfVariant(") > in_lambdas == plan.count("schemaOfVariant(lambda")
+    assert compare.differences(frame.toPandas(), compare.answer(compare.connect(SF), registry.ORACLE_SQL[name])) == ""
