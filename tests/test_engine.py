@@ -193,7 +193,7 @@ def test_values_without_messages_are_the_same(spark):
     assert {r.k: r["values"] for r in D.coerce_frame(rows, d, F.try_parse_json("answer")).collect()} == whole
 
 
-@pytest.mark.parametrize(("name", "in_lambdas"), [("C13_ledger_reasons", 0), ("C13_to_ledger", 2)])
+@pytest.mark.parametrize(("name", "in_lambdas"), [("C13_ledger_reasons", 0), ("C13_to_ledger", 2), ("C3b_positive", 0)])
 def test_single_values_are_not_coerced_in_lambdas(spark, name, in_lambdas):
     """Lambdas are interpreted; only a list's entries need them."""
     frame = registry.QUERIES[name](spark, SF)
