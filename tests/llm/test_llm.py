@@ -180,6 +180,45 @@ def test_block_pairs_of_a_crowded_cell_are_many_tasks(spark, monkeypatch):
     assert metric_join._cell_links(placed, 1, 0.4, 0.9).rdd.getNumPartitions() >= 4
 
 
+def test_vectors_are_stored_once_whatever_the_cells(spark, monkeypatch):
+    """Several cells and blocks: no vector is copied to the cells that it reaches, and no link is lost for it."""
+    kept, cut = {}, metric_join.cut
+    monkeypatch.setattr(metric_join, "cut", lambda df, label: kept.setdefault(label, cut(df, label)))
+    monkeypatch.setattr(metric_join, "VECTORS_PER_PIVOT", 20)
+    monkeypatch.setattr(metric_join, "BLOCK", 16)
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(150, 12))
+    v[:60] = rng.normal(size=(6, 12)).repeat(10, axis=0) + rng.normal(size=(60, 12)) * 0.15  # tight groups, some links of which cross cells
+    v[60:80] = v[:20] + rng.normal(size=(20, 12)) * 0.28
+    v[80:100] = v[80:100].astype(np.float32)  # packed in single precision
+    v[80:85] = v[40:45].astype(np.float32)
+    v[100], v[101], v[102] = v[3] * 1e200, v[4] * 1e-200, v[5]
+    u = v / np.abs(v).max(axis=1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    low = components(range(len(v)), [tuple(x) for x in np.argwhere(near).tolist()])
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in metric_join.near_vectors(df).collect()}
+    assert got == {k: (int(near[k].sum()), low[k], low[k] == k) for k in range(len(v))}
+    folds = kept["folds"].count()
+    assert folds == len(v) - 1 and kept["cells"].count() == folds and kept["cells"].select("cell").distinct().count() > 2
+    assert sum(len(r.folds) // 8 for r in kept["blocks"].collect()) == folds and kept["blocks"].count() > 9
+
+
+def test_tiles_give_each_pair_once(monkeypatch):
+    rng = np.random.default_rng(12)
+    a, b = rng.normal(size=(23, 3)).astype(np.float32), rng.normal(size=(19, 3)).astype(np.float32)
+    monkeypatch.setattr(metric_join, "TILE", (4, 8))
+    for other, same in ((b, False), (a, True)):
+        got = [(int(x), int(y)) for i, j, _ in metric_join._hits(a, other, 0.4, same) for x, y in zip(i, j)]
+        want = [(x, y) for x, y in np.argwhere(a @ other.T >= 0.4).tolist() if not same or x < y]
+        assert sorted(got) == want
+    label = np.arange(8)
+    metric_join._unite(label, np.array([7, 3, 5, 1]), np.array([3, 2, 7, 1]))
+    assert label.tolist() == [0, 1, 2, 2, 4, 2, 6, 2]
+
+
 def test_bpe_round_trip(spark):
     path = tokenizers_home.path("byte_bpe_50k.tiktoken")
     ranks = bpe.load_ranks(path)
