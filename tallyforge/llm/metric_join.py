@@ -205,10 +205,18 @@ def _hits(a: np.ndarray, b: np.ndarray, least: float, same: bool) -> Iterator[tu
 
 
 def _exactly(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, cosine: float) -> np.ndarray:
-    """Which of these pairs of rows have the cosine in double precision."""
-    step = max(1, (1 << 22) // a.shape[1])
-    found = [np.einsum("ij,ij->i", _unit(a[i[k : k + step]]), _unit(b[j[k : k + step]])) >= cosine for k in range(0, len(i), step)]
-    return np.concatenate(found) if found else np.zeros(0, bool)
+    """Which of these pairs of rows have the cosine in double precision, computed as SQL does: one that is the bound itself links."""
+
+    def scaled(m: np.ndarray) -> np.ndarray:
+        m = m.astype(np.float64)
+        return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])  # by powers of two: nothing is rounded
+
+    dot = lambda x, y: np.cumsum(x * y, axis=1)[:, -1]  # noqa: E731  (in the order of the components, as SQL adds)
+    step, found = max(1, (1 << 22) // a.shape[1]), [np.zeros(0, bool)]
+    for k in range(0, len(i), step):
+        x, y = scaled(a[i[k : k + step]]), scaled(b[j[k : k + step]])
+        found.append(dot(x, y) / np.sqrt(dot(x, x) * dot(y, y)) >= cosine)
+    return np.concatenate(found)
 
 
 def _join_groups(cells: _Cells | None, cosine: float):

@@ -206,6 +206,16 @@ def test_vectors_are_stored_once_whatever_the_cells(spark, monkeypatch):
     assert sum(len(r.folds) // 8 for r in kept["blocks"].collect()) == folds and kept["blocks"].count() > 9
 
 
+def test_a_cosine_of_the_bound_itself_links(spark):
+    """270 / sqrt(900 * 100) is 0.9: vectors scaled to length one first may fall short of it."""
+    far = [[9 * k, *x] for k in (1, 3, 7, 2.0**-500) for x in itertools.permutations([3 * k, 3 * k, k])]
+    rows = [(0, [30.0, 0.0, 0.0, 0.0]), *((k, [float(c) for c in x]) for k, x in enumerate(far, 1)), (99, [8.999999, 3.0, 3.0, 1.0])]
+    got = {r.vec_id: r.n_links for r in metric_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    units = metric_join._unit(np.array([x for _, x in rows]))
+    assert got[0] == len(far) and got[99] == len(far)  # the last is near all of them but the first
+    assert (units[1:-1] @ units[0] < 0.9).any()
+
+
 def test_tiles_give_each_pair_once(monkeypatch):
     rng = np.random.default_rng(12)
     a, b = rng.normal(size=(23, 3)).astype(np.float32), rng.normal(size=(19, 3)).astype(np.float32)
